@@ -85,7 +85,7 @@ def encode_segment(ids: np.ndarray) -> bytes:
         x = (q << shift) + r + cum[grid[s]]
     moved_b = moved.transpose(1, 0, 2)
     stream = out.transpose(1, 0, 2)[moved_b].astype("<u4").tobytes()
-    words = moved_b.reshape(blocks, -1).sum(1).astype("<u4")
+    words = moved_b.sum((1, 2)).astype("<u4")
     sums = np.array([crc(ids[k * block : (k + 1) * block].astype("<u4").tobytes()) for k in range(blocks)], "<u4")
     table = zlib.compress(symbols.astype("<u4").tobytes() + freq.astype("<u4").tobytes(), 1)
     head = HEADER.pack(MAGIC, n, block, LANES, scale, len(symbols), blocks, len(table), len(stream))
