@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import decontaminate, packing, token_output
+from keelson.llm import decontaminate, packing, substring_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_rans_tokens": token_output.op3,
         "op7_bestfit_pack": packing.op7,
+        "op8_suffix_tree_dedup": substring_dedup.op8,
         "op9_suffix_array_decontam": decontaminate.op9,
     }
 

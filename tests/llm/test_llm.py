@@ -121,3 +121,23 @@ def test_packing(spark, sample):
         bins, offsets, used = P.best_fit_decreasing(lengths, 2048)
         assert -(-lengths.sum() // 2048) <= P.lower_bound(lengths, 2048) <= len(used) and used.max() <= 2048
     assert P.lower_bound(np.array([1025] * 7), 2048) == 7 and P.lower_bound(np.array([683] * 7), 2048) == 4
+
+
+def test_op8(spark, sample):
+    from keelson.llm import substring_dedup as S
+
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(30)]
+    shared = [" ".join(rng.choices(words, k=n)) for n in (12, 13, 14, 40)]
+    more = [" ".join([*rng.choices(words, k=rng.randint(0, 9)), rng.choice(shared), *rng.choices(words, k=rng.randint(0, 9)), rng.choice(shared)]) for _ in range(60)]
+    docs = [*sample, *[(10_000 + k, t) for k, t in enumerate(EDGES)], *[(5_000 - k, t) for k, t in enumerate(more)], (30_000, sample[0][1]), (30_000, more[0]), (30_001, "a " * 3000)]
+    want = sorted(brute.op8([d for d in docs if d[0] != 30_000]))
+    cols = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    for group in (None, 500):
+        got = rows(S.remove_repeats(frame(spark, docs), group=group).filter("doc_id <> 30000"), *cols)
+        assert got == want
+    twice = sorted(brute.op8([d for d in docs if d[1] is not more[0] or d[0] != 30_000]) + brute.op8([d for d in docs if d[1] != sample[0][1] or d[0] != 30_000]))
+    assert rows(S.remove_repeats(frame(spark, docs)).filter("doc_id = 30000"), *cols) == [t for t in twice if t[0] == 30_000]
+    odd = frame(spark, [(None, more[0]), (7, more[0]), (8, more[0]), (9, None)])
+    assert sorted((r.doc_id or -1, r.n_removed > 0, r.kept is None) for r in S.remove_repeats(odd, texts=True).collect()) == [(-1, False, False), (7, False, False), (8, True, False), (9, False, False)]
+    assert S.remove_repeats(frame(spark, [])).count() == 0
