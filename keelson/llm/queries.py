@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import decontaminate, packing, substring_dedup, token_output
+from keelson.llm import decontaminate, near_dedup, packing, substring_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bestfit_pack": packing.op7,
         "op8_suffix_tree_dedup": substring_dedup.op8,
         "op9_suffix_array_decontam": decontaminate.op9,
+        "op10_odd_sketch_neardup": near_dedup.op10,
     }
 
 

@@ -141,3 +141,36 @@ def test_op8(spark, sample):
     odd = frame(spark, [(None, more[0]), (7, more[0]), (8, more[0]), (9, None)])
     assert sorted((r.doc_id or -1, r.n_removed > 0, r.kept is None) for r in S.remove_repeats(odd, texts=True).collect()) == [(-1, False, False), (7, False, False), (8, True, False), (9, False, False)]
     assert S.remove_repeats(frame(spark, [])).count() == 0
+
+
+def near_copies(rng, base, n, edits):
+    words = base.split()
+    out = []
+    for _ in range(n):
+        w = list(words)
+        for _ in range(rng.randint(0, edits)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(1000)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_op10(spark, sample):
+    from keelson.llm import near_dedup as N
+
+    rng = random.Random(9)
+    base = [" ".join(f"v{rng.randrange(300)}" for _ in range(n)) for n in (60, 150)]
+    docs = [*sample, *[(10_000 + k, t) for k, t in enumerate(EDGES)], *[(3_000 + k, t) for k, t in enumerate(near_copies(rng, base[0], 50, 6) + near_copies(rng, base[1], 90, 14))], (40_000, "THE " + base[0]), (40_001, "a b c d e f"), (40_002, "a b c d e"), (40_003, "one"), (40_004, "ONE")]
+    cols = ["doc_id", "n_shingles", "component_id", "kept"]
+    want = sorted(brute.op10(docs))
+    before = N.SMALL, N.BLOCK
+    for small, block in (before, (3, 20)):
+        N.SMALL, N.BLOCK = small, block
+        assert rows(N.cluster(frame(spark, docs)), *cols) == want
+    N.SMALL, N.BLOCK = before
+    want5 = sorted(brute.op10(docs, 5))
+    assert rows(N.cluster(frame(spark, docs), shingle=5), *cols) == want5
+    assert sorted(r.doc_id for r in N.dedup(frame(spark, docs)).collect()) == [w[0] for w in want5 if w[3]]
+    odd = frame(spark, [(None, base[0]), (5, base[0]), (6, base[0]), (6, base[1]), (7, base[1]), (8, None)])
+    assert rows(N.cluster(odd).filter("doc_id IS NOT NULL"), "doc_id", "component_id", "kept") == [(5, 5, True), (6, 5, False), (6, 5, False), (7, 5, False), (8, 8, True)]
+    assert rows(N.cluster(odd).filter("doc_id IS NULL"), "component_id", "kept") == [(None, True)]
+    assert N.cluster(frame(spark, [])).count() == 0
