@@ -174,3 +174,49 @@ def test_op10(spark, sample):
     assert rows(N.cluster(odd).filter("doc_id IS NOT NULL"), "doc_id", "component_id", "kept") == [(5, 5, True), (6, 5, False), (6, 5, False), (7, 5, False), (8, 8, True)]
     assert rows(N.cluster(odd).filter("doc_id IS NULL"), "component_id", "kept") == [(None, True)]
     assert N.cluster(frame(spark, [])).count() == 0
+
+
+def test_op2(spark):
+    from keelson.llm import quality as Q
+
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in Q.score(docs, labels).collect()}
+    import zlib
+
+    truth = [(got[r.doc_id], r.quality) for r in labels.collect() if r.doc_id in got]
+    assert all(g.held_out == (zlib.crc32(str(k).encode()) % 3 == 1) for k, g in got.items()) and len(got) == docs.count()
+    for label in (0, 1):
+        own = [g.predicted == q for g, q in truth if g.held_out and q == label]
+        assert sum(own) >= 0.9 * len(own)
+    # what the held-out rows are labelled doesn't matter, nor do other columns
+    flipped = labels.selectExpr("doc_id", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 3 = 1 THEN 1 - quality ELSE quality END AS quality", "toxic")
+    again = {r.doc_id: r.score for r in Q.score(docs.selectExpr("doc_id", "text", "'x' AS lang", "'y' AS quality", "0 AS score"), flipped).collect()}
+    assert again == {k: g.score for k, g in got.items()}
+    odd = frame(spark, [(1, None), (2, ""), (3, "a"), (None, "a b"), (4, "a " * 50_000), (4, "a")])
+    out = Q.score(odd, labels.limit(0)).collect()
+    assert len(out) == 6 and all(r.score == 0.5 and r.predicted == 1 for r in out) and [r.held_out for r in out if r.doc_id is None] == [True]
+    assert Q.score(frame(spark, []), labels).count() == 0
+    kept = Q.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, g in got.items() if g.predicted}
+
+
+def test_op4(spark):
+    from keelson.llm import url_filter as U
+
+    urls = [None, "", "no scheme", "HTTP://A.Example.ORG/es/x", "http://example.org/es", "http://example.org/en/12?q", "x://notexample.org/en/1", "http://fr.com/fr/a#b", "http://com/de/", "http://com/dE/", "https://a.net/CASINO-x", "https://a.net/casinos",
+            "https://a.net/free", "https://a.net/free/win", "https://a.net/free/free", "https://a.net?x=http://b.org/", "://", "http://a.org", "http://é.net/xxx", "http://a.net/éxxx", "http://a.org/casino"]
+    pages = spark.createDataFrame([(k, u, "h", 5) for k, u in enumerate(urls)], "page_id long, url string, host string, rule int")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.judge(pages, U.CONTRACT).collect()}
+    want = [
+        ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("a.example.org", "/es/x", "example.org/es/", "block"), ("example.org", "/es", "org/", "allow"), ("example.org", "/en/12", "example.org/en/1", "block"),
+        ("notexample.org", "/en/1", "org/", "allow"), ("fr.com", "/fr/a", "com/fr/", "allow"), ("com", "/de/", "com/de/", "block"), ("com", "/dE/", None, "allow"), ("a.net", "/CASINO-x", None, "block"), ("a.net", "/casinos", None, "allow"),
+        ("a.net", "/free", None, "allow"), ("a.net", "/free/win", None, "block"), ("a.net", "/free/free", None, "allow"), ("a.net", "", None, "allow"), ("", "", None, "allow"), ("a.org", "", None, "allow"), ("é.net", "/xxx", None, "block"), ("a.net", "/éxxx", None, "block"), ("a.org", "/casino", "org/", "allow"),
+    ]
+    assert [got[k] for k in range(len(urls))] == want
+    import duckdb
+    import pandas as pd
+
+    pages = pd.DataFrame({"page_id": range(len(urls)), "url": urls})  # noqa: F841
+    assert sorted(duckdb.sql(U.ORACLE_SQL).fetchall()) == sorted((k, *want[k], *U.hits(U.automaton(U.STRICT, U.SOFT), urls[k])) for k in range(len(urls)))
+    assert U.judge(spark.createDataFrame([], "page_id long, url string"), ()).count() == 0
