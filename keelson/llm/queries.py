@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import decontaminate, near_dedup, packing, quality, substring_dedup, token_output, url_filter
+from keelson.llm import decontaminate, line_dedup, near_dedup, packing, pii, quality, substring_dedup, token_output, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_subword_quality": quality.op2,
         "op3_rans_tokens": token_output.op3,
         "op4_url_vocabulary": url_filter.op4,
+        "op5_winnow_lines": line_dedup.op5,
+        "op6_disclosure_pii": pii.op6,
         "op7_bestfit_pack": packing.op7,
         "op8_suffix_tree_dedup": substring_dedup.op8,
         "op9_suffix_array_decontam": decontaminate.op9,
@@ -22,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_vocabulary": url_filter.ORACLE_SQL}
+    return {"op4_url_vocabulary": url_filter.ORACLE_SQL, "op5_winnow_lines": line_dedup.sql()}

@@ -220,3 +220,57 @@ def test_op4(spark):
     pages = pd.DataFrame({"page_id": range(len(urls)), "url": urls})  # noqa: F841
     assert sorted(duckdb.sql(U.ORACLE_SQL).fetchall()) == sorted((k, *want[k], *U.hits(U.automaton(U.STRICT, U.SOFT), urls[k])) for k in range(len(urls)))
     assert U.judge(spark.createDataFrame([], "page_id long, url string"), ()).count() == 0
+
+
+def test_op5(spark, sample):
+    import duckdb
+    import pandas as pd
+
+    from keelson.llm import line_dedup as L
+
+    rng = random.Random(4)
+    lines = [f"line {k}" for k in range(12)] + ["", " \t"]
+    docs = [*sample, *[(10_000 + k, t) for k, t in enumerate(EDGES)], *[(3_000 - k, "\n".join(rng.choices(lines, k=rng.randint(0, 14)))) for k in range(120)], (20_000, "a\n" * 50), (20_001, "x\n\ny\nz\n"), (20_002, "w\nx\ny\nz"), (20_003, "　\n　\n　\n　")]
+    documents = pd.DataFrame(docs, columns=["doc_id", "text"])  # noqa: F841
+    want = sorted(duckdb.sql(L.sql()).fetchall())
+    cols = ["doc_id", "n_lines", "n_removed", "text"]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, L.line_report(frame(spark, docs)).select(cols).collect()), key=key) == sorted(want, key=key)
+    wide = sorted(duckdb.sql(L.sql(2, 4)).fetchall())
+    assert sorted(map(tuple, L.line_report(frame(spark, docs), gram=2, window=4).select(cols).collect()), key=key) == sorted(wide, key=key)
+    out = L.dedup(frame(spark, docs))
+    assert out.columns == frame(spark, docs).columns
+    got = {r.doc_id: (r.text, r.n_chars, r.kept) for r in out.collect()}
+    assert set(got) == {d for d, _, gone, t in want if not gone or t.strip(" \t\r\x0b\x0c\n")}
+    assert all(got[d][0] == t for d, _, _, t in want if d in got) and all(t is None or n == len(t) for t, n, _ in got.values())
+    odd = frame(spark, [(None, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc"), (2, "a\nb\nc"), (3, None)])
+    assert sorted((r.doc_id or -1, r.text or "-", r.n_removed) for r in L.line_report(odd).collect()) == [(-1, "a\nb\nc", 0), (1, "a\nb\nc", 0), (2, "-", 3), (2, "-", 3), (3, "-", 0)]
+    assert L.line_report(frame(spark, [])).count() == 0
+
+
+def test_op6(spark, sample):
+    from keelson.llm import pii as P
+
+    rng = random.Random(8)
+    odd = [
+        "mail a.b+c@d-e.fg.hi, x@y, a@b.c@d.e _q@w.e..r", "1.2.3.4.5.6.7.8 256.1.1.1 0255.01.1.001 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 5500000000000004", "+1 (499) 555-6503, +12, +1((((, +1234567890123456 ++44 20 7946 0958.",
+        "é😀 a@b.co 😀 1.1.1.1 x", "9" * 30_000, "a" * 30_000 + "@b.c", "a.b@" * 3_000, "1.1." * 5_000, "+1 " * 5_000, "@." * 100, "4111111111111111" * 30, "a@b" + ".c" * 20_000,
+    ]
+    odd += ["".join(rng.choices("ab@.1259+-() _", k=rng.randint(1, 60))) for _ in range(300)]
+    odd += [f"call Zanzibarious Quillon at boss{rng.randint(0, 1)}@corp.org about number {k} of many things" for k in range(8)]
+    docs = [*sample, *[(10_000 + k, t) for k, t in enumerate([*EDGES, *odd])]]
+    got = {r.doc_id: r for r in P.report(frame(spark, docs)).collect()}
+    assert len(got) == len(docs)
+    for d, t in docs:
+        want = brute.base_spans(t)
+        spelled = ",".join(f"{k}:{a}:{z}" for k, a, z in want)
+        r = got[d]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, _, _ in want) for kind in brute.KINDS), (d, (t or "")[:80])
+        assert r.base_sha256 == brute.sha(spelled) and (r.spans == spelled or r.spans.startswith(spelled + "," if spelled else "term:")), d
+    terms = {t[int(a) : int(z)] for d, t in docs if t for k, a, z in (x.split(":") for x in got[d].spans.split(",") if x) if k == "term"}
+    assert {"Zanzibarious", "Quillon"} <= terms
+    clean = {r.doc_id: r.text for r in P.sanitize(frame(spark, docs)).collect()}
+    assert clean[10_000] is None and all("@corp" not in (t or "") and "Zanzibarious" not in (t or "") for t in clean.values())
+    assert clean[10_000 + len(EDGES) + 4] == "é😀 [EMAIL] 😀 [IP] x"
+    assert P.report(frame(spark, [])).count() == 0 and P.sanitize(frame(spark, docs[:1])).columns == frame(spark, []).columns
+    assert P.report(frame(spark, [(None, "a@b.c"), (None, None)])).count() == 2
