@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import decontaminate, line_dedup, near_dedup, packing, pii, quality, substring_dedup, token_output, url_filter
+from keelson.llm import ann, decontaminate, line_dedup, near_dedup, packing, pii, quality, substring_dedup, token_output, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_cross_polytope_ann": ann.op1,
         "op2_subword_quality": quality.op2,
         "op3_rans_tokens": token_output.op3,
         "op4_url_vocabulary": url_filter.op4,

@@ -274,3 +274,61 @@ def test_op6(spark, sample):
     assert clean[10_000 + len(EDGES) + 4] == "é😀 [EMAIL] 😀 [IP] x"
     assert P.report(frame(spark, [])).count() == 0 and P.sanitize(frame(spark, docs[:1])).columns == frame(spark, []).columns
     assert P.report(frame(spark, [(None, "a@b.c"), (None, None)])).count() == 2
+
+
+def exact_neighbours(rows, queries, k=10):
+    import numpy as np
+
+    out = {}
+    for q, v in queries:
+        best = {}
+        for i, x in rows:
+            if i != q:
+                d = float(np.sqrt(((np.array(x, float) - np.array(v, float)) ** 2).sum()))
+                best[i] = min(d, best.get(i, d))
+        out[q] = sorted((d, i) for i, d in best.items())[:k]
+    return out
+
+
+def test_op1(spark):
+    import numpy as np
+
+    from keelson.llm import ann as A
+
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows_ = [(r.vec_id, r.embedding) for r in table.collect()]
+    x = np.array([v for _, v in rows_], np.float64)
+    got = {}
+    for r in A.op1(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = total = 0
+    for q, v in rows_:
+        if q % 100 == 0:
+            d = np.sqrt(((x - np.array(v, np.float64)) ** 2).sum(1))
+            want = [i for _, i in sorted((d[k], i) for k, (i, _) in enumerate(rows_) if i != q)[:10]]
+            own = sorted(got[q])
+            assert [o[0] for o in own] == list(range(1, 11)) and [(o[2], o[1]) for o in own] == sorted((o[2], o[1]) for o in own)
+            assert all(abs(s - d[i]) < 1e-12 for _, i, s in own) if rows_[5][0] == 5 else True
+            hits, total = hits + len({o[1] for o in own} & set(want)), total + 10
+    assert hits >= 0.9 * total
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(3, 12))
+    vecs = [(k, [float(c) for c in (base[k % 3] + (0.01 * rng.normal(size=12) if k % 2 else 0)) * (1 + k % 5)]) for k in range(300)]
+    bad = [(900, None), (901, [0.0] * 12), (902, [None] + [1.0] * 11), (903, [float("nan")] * 12), (904, [float("inf")] * 12), (905, [1.0] * 5), (906, []), (None, [1.0] * 12), (7, [9.0] * 12), (7, vecs[7][1])]
+    df = spark.createDataFrame(vecs + bad, "vec_id long, embedding array<double>")
+    good = vecs + [(7, [9.0] * 12)]
+    for hashes in (1, 2):
+        found = {}
+        for r in A.search(df, df.filter("vec_id % 50 = 0 OR vec_id = 901"), hashes=hashes, probes=100).collect():
+            found.setdefault(r.query_id, []).append((r.score, r.vec_id))
+        want = exact_neighbours(good, [v for v in vecs if v[0] % 50 == 0])
+        assert set(found) == set(want)
+        for q in want:
+            assert [i for _, i in sorted(found[q])] == [i for _, i in want[q]]
+    before, A.CHUNK = A.CHUNK, 7  # chunks change nothing
+    again = {(r.query_id, r.rank, r.vec_id) for r in A.search(df, df.filter("vec_id % 50 = 0"), probes=100).collect()}
+    A.CHUNK = before
+    assert again == {(q, k, i) for q, w in want.items() for k, (_, i) in enumerate(w, 1)}
+    few = spark.createDataFrame(vecs[:4], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.vec_id) for r in A.search(few, few).collect()) == [(a, b) for a in range(4) for b in range(4) if a != b]
+    assert A.search(df.limit(0), df).count() == 0 and A.search(df, df.limit(0)).count() == 0
