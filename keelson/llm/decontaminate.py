@@ -29,7 +29,7 @@ from keelson.llm.common import alnum_words, slices
 WINDOW = 8
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 8 << 20
-#: Items whose windows occur before a document counts as contaminated.
+#: Items whose windows occur in a document that ``scan`` calls contaminated.
 MIN_ITEMS = 2
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -217,8 +217,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_ite
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
-    """The documents that are not contaminated, all their columns as they were."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_items: int = 1) -> DataFrame:
+    """The documents in which windows of fewer than ``min_items`` items occur, all their columns as they were."""
     blocks = test_blocks(benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -225,9 +225,14 @@ def cluster(docs: DataFrame, *, shingle: int = SHINGLE, threshold: int = THRESHO
 
 
 def dedup(docs: DataFrame, *, shingle: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """The documents with one of each component; rows that repeat whole are one document."""
-    gone = cluster(docs, shingle=shingle, threshold=threshold).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The documents with one of each component; rows that repeat a doc_id and its text are one document."""
+    found = stored(cluster(docs, shingle=shingle, threshold=threshold), "near-clusters")
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    several = stored(found.filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_gone")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_gone"), "near-several")
+    if several.isEmpty():
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    once = docs.join(several, docs["doc_id"] == several["_gone"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(gone.union(several), docs["doc_id"] == gone["_gone"], "left_anti").unionByName(once)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,8 +42,10 @@ def test_op9(spark, sample):
     assert got == want
     long_bench = [x for x in bench if x[0] is not None and len((x[1] or "").split()) >= 8]  # no short items: the pair filter is on
     assert rows(D.scan(frame(spark, docs), spark.createDataFrame(long_bench, "item_id long, text string")), *cols) == sorted(brute.op9(docs, long_bench))
-    kept = {r.doc_id for r in D.decontaminate(frame(spark, docs), b).collect()}
-    assert kept == {w[0] for w in want if not w[5]} and D.decontaminate(frame(spark, docs), b).columns == frame(spark, docs).columns
+    kept = {r.doc_id for r in D.decontaminate(frame(spark, docs), b, min_items=2).collect()}
+    assert kept == {w[0] for w in want if not w[5]}
+    assert {r.doc_id for r in D.decontaminate(frame(spark, docs), b).collect()} == {w[0] for w in want if not w[3]}
+    assert D.decontaminate(frame(spark, docs), b).columns == frame(spark, docs).columns
     assert rows(D.scan(frame(spark, docs[:3]), b.limit(0)), "n_hit") == [(0,)] * 3
     assert D.scan(frame(spark, []), b).count() == 0
     before, D.BLOCK_BYTES = D.BLOCK_BYTES, 300  # several blocks give the same
@@ -173,6 +175,7 @@ def test_op10(spark, sample):
     odd = frame(spark, [(None, base[0]), (5, base[0]), (6, base[0]), (6, base[1]), (7, base[1]), (8, None)])
     assert rows(N.cluster(odd).filter("doc_id IS NOT NULL"), "doc_id", "component_id", "kept") == [(5, 5, True), (6, 5, False), (6, 5, False), (7, 5, False), (8, 8, True)]
     assert rows(N.cluster(odd).filter("doc_id IS NULL"), "component_id", "kept") == [(None, True)]
+    assert sorted((r.doc_id or -1) for r in N.dedup(frame(spark, [(None, base[0]), (5, base[0]), (5, base[0]), (5, base[1]), (7, base[1]), (8, None), (8, None)])).collect()) == [-1, 5, 5, 8]
     assert N.cluster(frame(spark, [])).count() == 0
 
 
