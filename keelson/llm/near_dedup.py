@@ -6,8 +6,9 @@
 2. Documents with equal sets are one class; its smallest doc_id stands for it. Exact copies go no further.
 3. Classes that share a band bucket are candidates. First each is paired with the least member of its buckets (linear in the
    rows, however large a bucket), most shared bands first; pairs pass the odd-sketch test and are confirmed on full sets.
-4. Buckets whose members are then in several components are searched whole: every pair across components, in blocks, by the
-   odd-sketch test and then on full sets. Pairs inside a component can't change it and are skipped; no partner is capped.
+4. Documents that buckets of several components connect are searched whole: every pair across components, in blocks of members,
+   by the odd-sketch test and then on full sets. A block's task returns only links that join components, never its pairs;
+   pairs inside a component can't change it and are skipped; no partner is capped.
 5. Components of confirmed links; the smallest doc_id of each stays.
 
 A pair of similarity 0.8 shares no band with probability (1 - 0.8**ROWS)**BANDS, 5e-6 by default; the sketch test passes all but about
@@ -37,8 +38,8 @@ THRESHOLD = 80  # per cent
 BANDS, ROWS, SKETCH = 40, 6, 512
 #: Set bits of the XOR beyond which two sketches are of sets well below the threshold: 5.5 deviations above what 0.8 gives.
 FAR = 144
-#: Larger buckets are searched in blocks of BLOCK members by numpy, smaller ones by array functions.
-SMALL, BLOCK = 32, 2048
+#: Members of a block in the search across components.
+BLOCK = 512
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
 
 
@@ -158,34 +159,72 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: int)
     return rows.groupBy("g").applyInPandas(verify, "a long, b long").distinct()
 
 
-def across(members: DataFrame, threshold: int) -> DataFrame:
-    """Pairs across components within buckets (bucket, doc_id, comp), each once; those that sizes and sketches forbid may be missing."""
-    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket", "m")
-    mixed = members.join(size, "bucket")
-    lists = mixed.filter(F.col("m") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "comp")).alias("x"))
-    ahead = F.flatten(F.transform("x", lambda p: F.transform(F.filter("x", lambda q: (q["doc_id"] > p["doc_id"]) & (q["comp"] != p["comp"])), lambda q: F.struct(p["doc_id"].alias("a"), q["doc_id"].alias("b")))))
-    small = lists.select(F.explode(ahead).alias("p")).select("p.*")
-    # a member of block i meets block j in the task (i, j): every pair of blocks is one task's work, however large the bucket
-    large = mixed.filter(F.col("m") > SMALL).withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    spread = large.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
-    spread = spread.select("bucket", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "doc_id", "comp", "n_shingles", "sketch")
+def rooted(links: DataFrame) -> DataFrame:
+    """(node, comp) of a forest given as (b, a) with a < b, one a for each b: pointer jumping, each round a written table."""
+    up = stored(links.select(F.col("b").alias("node"), F.col("a").alias("comp")), "near-roots")
+    k = 0
+    while True:
+        k += 1
+        over = up.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+        now = stored(up.join(over, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp"), F.col("far").isNotNull().alias("moved")), f"near-roots-{k}")
+        up = now.select("node", "comp")
+        if now.filter("moved").isEmpty():
+            return up
+
+
+def searched(stars: DataFrame, placed: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """Links across components among documents that buckets of several components connect (``stars``: a, b).
+
+    Connected documents form a cluster; its members are dealt to blocks, and each pair of blocks is one task's work. A task keeps its
+    own components and confirms only pairs across them, most similar first, so it returns fewer links than it has members.
+    """
+    clusters = components(stars, "near-clusters")
+    size = clusters.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = clusters.join(size, "comp").select(F.col("node").alias("doc_id"), F.col("comp").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("i"))
+    dealt = dealt.join(placed.select("doc_id", "comp"), "doc_id").join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id").join(texts, "doc_id")
+    spread = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = spread.select("cluster", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "doc_id", "comp", "n_shingles", "sketch", "text")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["doc_id"])
-        doc, comp, n = (pdf[c].to_numpy() for c in ("doc_id", "comp", "n_shingles"))
+        pdf = pdf.sort_values(["doc_id"]).reset_index(drop=True)
+        doc, n, block = (pdf[c].to_numpy() for c in ("doc_id", "n_shingles", "i"))
         sketch = np.stack(pdf["sketch"].to_list()).astype(np.int64).view(np.uint64)
-        left, right = np.flatnonzero(pdf["i"] == pdf["lo"].iloc[0]), np.flatnonzero(pdf["i"] == pdf["hi"].iloc[0])
+        root = dict.fromkeys(pdf["comp"].tolist())
+        root = {c: c for c in root}
+        comp = pdf["comp"].tolist()
+        sets: dict[int, set] = {}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        def set_of(k: int) -> set:
+            if k not in sets:
+                sets[k] = shingle_set(pdf["text"].iat[k], shingle)
+            return sets[k]
+
+        lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         out = []
         for k in left.tolist():
-            r = right[comp[right] != comp[k]]
+            r = right[right > k] if lo == hi else right
             r = r[100 * np.minimum(n[r], n[k]) >= threshold * np.maximum(n[r], n[k])]
-            r = r[np.bitwise_count(sketch[r] ^ sketch[k]).sum(1) <= FAR]
-            out.append(np.stack([np.minimum(doc[r], doc[k]), np.maximum(doc[r], doc[k])], 1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
+            far = np.bitwise_count(sketch[r] ^ sketch[k]).sum(1)
+            near_ = np.flatnonzero(far <= FAR)
+            for x in r[near_[np.argsort(far[near_], kind="stable")]].tolist():
+                p, q = find(comp[k]), find(comp[x])
+                if p == q:
+                    continue
+                s, o = set_of(k), set_of(x)
+                m = len(s & o)
+                if m and 100 * m >= threshold * (len(s) + len(o) - m):
+                    root[max(p, q)] = min(p, q)
+                    out.append((int(doc[k]), int(doc[x])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    big = spread.groupBy("bucket", "lo", "hi").applyInPandas(search, "a long, b long")
-    return small.union(big).distinct()
+    return spread.groupBy("cluster", "lo", "hi").applyInPandas(search, "a long, b long")
 
 
 def cluster(docs: DataFrame, *, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -193,32 +232,38 @@ def cluster(docs: DataFrame, *, shingle: int = SHINGLE, threshold: int = THRESHO
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sigs = stored(signed(rows, shingle), "near-sigs")
     linked = sigs.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = linked.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    twice = linked.select("doc_id", "set_a", "set_b", "n_shingles").distinct().join(classes, ["set_a", "set_b", "n_shingles"])
-    same = stored(twice.select("doc_id", "rep"), "near-classes")
-    reps = stored(linked.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"]).select("doc_id", "n_shingles", "bands", "sketch"), "near-reps")
+    keys = ["set_a", "set_b", "n_shingles"]
+    classes = linked.groupBy(*keys).agg(F.min("doc_id").alias("rep"))
+    own = lambda c: F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c)
+    same = stored(linked.join(classes, keys).select("doc_id", "rep", "n_shingles", own("bands"), own("sketch")), "near-classes")
+    reps = same.filter("doc_id = rep")
 
     banded = reps.select("doc_id", F.posexplode("bands").alias("band", "value")).select("doc_id", F.xxhash64("band", "value").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).filter("head <> tail").select("bucket", "head")
-    members = stored(banded.join(shared, "bucket").distinct(), "near-buckets")
+    members = stored(banded.join(shared, "bucket"), "near-buckets")
     votes = members.filter("doc_id <> head").groupBy(F.col("head").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
-    likely = near(votes, reps, threshold)
-    top = likely.groupBy("b").agg(F.max(F.struct("votes", (-F.col("a")).alias("minus"))).alias("x"))
+    top = near(votes, reps, threshold).groupBy("b").agg(F.max(F.struct("votes", (-F.col("a")).alias("minus"))).alias("x"))
     best = stored(top.select((-F.col("x.minus")).alias("a"), "b"), "near-best")
     texts = stored(rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "near-texts")
-    links = stored(confirmed(best, texts, shingle, threshold), "near-links")
-
-    first = components(links, "near-first")
-    placed = members.select("bucket", "doc_id").join(first, members["doc_id"] == first["node"], "left").select("bucket", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    placed = placed.join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    rest = near(across(placed, threshold), reps, threshold).join(best, ["a", "b"], "left_anti")
-    more = stored(confirmed(stored(rest, "near-rest"), texts, shingle, threshold), "near-more")
-    # classes by their representatives: a doc_id with several sets joins its classes
-    several = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z")
-    merge = same.join(several.select("doc_id"), "doc_id").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    done = components(links.union(more).union(merge), "near-last")
-
-    comp = same.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(done.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("component_id"))
+    comps = rooted(stored(confirmed(best, texts, shingle, threshold), "near-links"))
+
+    placed = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    placed = stored(placed, "near-placed")
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket")
+    stars = stored(placed.join(mixed, "bucket").filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "near-stars")
+    # a doc_id with several sets joins its classes
+    several = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
+    extra = stored(same.join(several.select("doc_id"), "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "near-several")
+    if not stars.isEmpty():
+        where = placed.select("doc_id", "comp").distinct()
+        extra = stored(searched(stars, where, reps, texts, shingle, threshold), "near-more").union(extra)
+    if not extra.isEmpty():
+        up = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"up_{c}"))
+        lifted = extra.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("up_a", "a").alias("a"), F.coalesce("up_b", "b").alias("b")).filter("a <> b")
+        merged = components(lifted, "near-last").withColumnRenamed("comp", "least")
+        comps = comps.union(merged.select("node", F.col("node").alias("comp")).join(comps.select("node"), "node", "left_anti"))
+        comps = comps.join(merged.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("least", "comp").alias("comp"))
+    comp = same.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles").join(comp, "doc_id", "left")
     blank = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", blank.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))

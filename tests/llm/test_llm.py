@@ -164,11 +164,11 @@ def test_op10(spark, sample):
     docs = [*sample, *[(10_000 + k, t) for k, t in enumerate(EDGES)], *[(3_000 + k, t) for k, t in enumerate(near_copies(rng, base[0], 50, 6) + near_copies(rng, base[1], 90, 14))], (40_000, "THE " + base[0]), (40_001, "a b c d e f"), (40_002, "a b c d e"), (40_003, "one"), (40_004, "ONE")]
     cols = ["doc_id", "n_shingles", "component_id", "kept"]
     want = sorted(brute.op10(docs))
-    before = N.SMALL, N.BLOCK
-    for small, block in (before, (3, 20)):
-        N.SMALL, N.BLOCK = small, block
+    before = N.BLOCK
+    for block in (before, 20):
+        N.BLOCK = block
         assert rows(N.cluster(frame(spark, docs)), *cols) == want
-    N.SMALL, N.BLOCK = before
+    N.BLOCK = before
     want5 = sorted(brute.op10(docs, 5))
     assert rows(N.cluster(frame(spark, docs), shingle=5), *cols) == want5
     assert sorted(r.doc_id for r in N.dedup(frame(spark, docs)).collect()) == [w[0] for w in want5 if w[3]]
