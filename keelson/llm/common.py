@@ -28,8 +28,28 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths given out in this process, until they are released.
+_GIVEN: list[str] = []
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    _GIVEN.append(path)
+    return path
+
+
+def given() -> tuple[str, ...]:
+    return tuple(_GIVEN)
+
+
+def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> int:
+    """Deletes the tables written to the shared folder so far, but those in ``keep``. Frames that still read them must have been used."""
+    gone = [p for p in _GIVEN if p not in keep]
+    for path in gone:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _GIVEN[:] = [p for p in _GIVEN if p in keep]
+    return len(gone)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
