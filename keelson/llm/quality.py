@@ -30,6 +30,8 @@ TRAIN_DOCS = 4_000
 EPOCHS = 6
 RATE = 0.3
 NGRAMS = (3, 4)
+#: Text bytes scored at once: a worker that other operators have used still holds their caches.
+SCORE_BYTES = 2 << 20
 SAME = np.uint64(BUCKETS - 1)
 
 
@@ -161,7 +163,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, most=SCORE_BYTES):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text_scores(b.column("text"), *model.value))], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -174,7 +176,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, most=SCORE_BYTES):
                 yield b.filter(pc.greater_equal(pa.array(text_scores(b.column("text"), *model.value)), 0.5))
 
     return docs.mapInArrow(run, docs.schema)
