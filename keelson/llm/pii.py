@@ -1,19 +1,24 @@
 """Operator 6: information-theoretic sanitisation, in DataFrame functions only.
 
 Base matches (email, ip, card, phone) are the protected entities. Corpus co-occurrence estimates how strongly a word discloses one: with
-n documents, n(t) having the word, n(c) the entity and n(c, t) the word within CONTEXT characters of the entity,
+n texts, n(t) having the word, n(c) the entity and n(c, t) both, anywhere in the text,
 
-    PMI(c; t) = log(n * n(c, t) / (n(c) * n(t))),   IC(c) = log(n / n(c)),   disclosure = PMI / IC.
+    P(c | t) = n(c, t) / n(t),   IC(c) = log(n / n(c)),   PMI(c; t) = log(P(c | t) / (n(c) / n)),   disclosure = PMI / IC.
 
-Disclosure is 1 for a word that occurs nowhere but beside that entity. Beyond REMOVE a word is removed, beyond GENERALISE replaced by
-a general term; both need SUPPORT different contexts, so copies of one document prove nothing. All counts are over all
-documents; only the minima and counts of an entity or word move, combined before the shuffle.
+Beyond GENERALISE a word is replaced by a general term, beyond REMOVE removed, wherever it stands outside base matches in a document that
+holds the entity. Rare counts have no minimum, but removal asks for REMOVE of the disclosure by P shrunk to the entity's base rate,
+(n(c, t) + PRIOR * n(c) / n) / (n(t) + PRIOR): a word seen once, beside an entity seen once, has P = 1/2 then and is
+generalised, unless n passes about a million texts, where 1/2 discloses 0.95 of IC. Equal texts are one in all counts, so copies prove
+nothing. A word is a run of two or more letters, marks and digits, or one ideograph: a lone letter stays. Words that a text has by chance alone are generalised too, if few others have them.
+
+Nothing is cut: pairs are dropped before counting only where n(c) texts with both could not reach the threshold. Entities with the same
+texts have the same estimates and are counted as one, so a text with many of them is no product of entities and words.
 
 Patterns are the contract's, with possessive loops and a look-behind: the same matches, without recursion or quadratic rescans on very
 long runs. Offsets are code points, ends exclusive.
 
-Defined cases: null text is empty; rows with the same doc_id and text are one document in counts and get the same spans; a null
-doc_id has base spans only; an empty table gives no rows; other columns are ignored, and kept by ``sanitize``.
+Defined cases: null text is empty; rows with the same text are one in counts and get the same spans; a null
+doc_id takes no part in counts and has base spans only; an empty table gives no rows; other columns are ignored, and kept by ``sanitize``.
 """
 
 from __future__ import annotations
@@ -31,9 +36,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-WORD = r"\p{L}{4,40}+"
-CONTEXT = 80
-SUPPORT = 3
+WORD = r"[\p{L}\p{M}\p{N}]{2,}+|\p{IsIdeographic}"
+#: Up to so many characters, and on to the end of a word: offsets add up over pieces, words over one piece only.
+PIECE = r"(?s).{1,512}+[\p{L}\p{M}\p{N}]*+"
+PRIOR = 1.0
 GENERALISE, REMOVE = 0.8, 0.95
 SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
 
@@ -93,49 +99,71 @@ def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def hashed(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
 def detected(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, tag (of the text), text, base spans."""
+    """Per row: doc_id, tag (of the text), base spans, text (null if there are none)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
+    return rows.select("doc_id", "tag", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"))
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """Words near each mention: doc_id, tag, entity, context (a hash of its surroundings), word, start, end."""
-    m = found.filter("doc_id IS NOT NULL").filter(F.size("base") > 0).select("doc_id", "tag", "text", "base", F.explode("base").alias("s"))
-    low = F.greatest(F.lit(0), F.col("s.start") - CONTEXT).cast("int")
-    before = F.substring(F.col("text"), low + 1, (F.col("s.start") - low).cast("int"))
-    after = F.substring(F.col("text"), (F.col("s.end") + 1).cast("int"), F.lit(CONTEXT))
+def bags(docs: DataFrame) -> DataFrame:
+    """Per text: tag, hashes of its words."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), hashed))
+    return docs.filter("doc_id IS NOT NULL").select(F.xxhash64(text).alias("tag"), words.alias("words")).groupBy("tag").agg(F.first("words").alias("words"))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, generalise: float, remove: float) -> DataFrame:
+    """Per text: tag, gone and general (hashes of the words beyond the thresholds for an entity of the text)."""
+    texts = stored(bags(docs), "pii-words")
+    n = float(max(texts.count(), 1))
     entity = F.xxhash64(F.col("s.kind"), F.lower("s.value"))
-    sides = F.array(F.struct(low.cast("long").alias("off"), before.alias("side")), F.struct(F.col("s.end").alias("off"), after.alias("side")))
-    m = m.select("doc_id", "tag", "base", entity.alias("entity"), F.xxhash64(before, after).alias("context"), F.explode(sides).alias("x"))
-    words = m.select("doc_id", "tag", "base", "entity", "context", "x.off", F.explode(matches_of(F.col("x.side"), WORD, "term", lambda w: F.lit(True))).alias("w"))
-    words = words.select("doc_id", "tag", "base", "entity", "context", F.lower("w.value").alias("word"), (F.col("off") + F.col("w.start")).alias("start"), (F.col("off") + F.col("w.end")).alias("end"))
-    return words.filter(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))).drop("base")
-
-
-def disclosing(docs: DataFrame, near: DataFrame, generalise: float, remove: float) -> DataFrame:
-    """(entity, word, disclosure, action) beyond the thresholds."""
-    rows = docs.filter("doc_id IS NOT NULL")
-    n = rows.select("doc_id").distinct().count()
-    pairs = near.select("entity", "word", "doc_id", "context").distinct().groupBy("entity", "word").agg(F.countDistinct("doc_id").alias("n_ct"), F.countDistinct("context").alias("support")).filter(F.col("support") >= SUPPORT)
-    entities = near.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(WORD), F.lit(0)))
-    wanted = pairs.select("word").distinct()
-    seen = rows.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "word", "left_semi")
-    pmi = F.log(F.lit(float(max(n, 1))) * F.col("n_ct") / (F.col("n_c") * F.greatest("n_t", "n_ct")))
-    ic = F.log(F.lit(float(max(n, 1))) / F.col("n_c"))
-    d = pairs.join(entities, "entity").join(seen, "word").withColumn("disclosure", F.when(ic > 0, pmi / F.when(ic > 0, ic)))
-    return d.filter(F.col("disclosure") >= generalise).select("entity", "word", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
+    held = found.filter("doc_id IS NOT NULL").filter(F.size("base") > 0).select("tag", F.explode("base").alias("s")).select("tag", entity.alias("entity")).distinct()
+    alike = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"), F.bit_xor("tag").alias("x"), F.bit_xor(F.xxhash64("tag")).alias("y")).select("entity", "n_c", F.xxhash64("n_c", "x", "y").alias("c"))
+    held = stored(held.join(alike, "entity").select("tag", "c", "n_c").distinct(), "pii-entities")
+    seen = texts.select(F.explode("words").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
+    words = texts.join(held.select("tag").distinct(), "tag", "left_semi").select("tag", F.explode("words").alias("t")).join(seen, "t")
+
+    def disclosure(n_ct: Column, prior: float = 0.0) -> Column:
+        ic = F.log(F.lit(n) / F.col("n_c"))
+        return F.when(ic > 0, 1 + F.log((n_ct + prior * F.col("n_c") / n) / (F.col("n_t") + prior)) / F.when(ic > 0, ic))
+
+    pairs = words.join(held, "tag").filter(disclosure(F.least("n_c", "n_t")) >= generalise)
+    pairs = stored(pairs, "pii-pairs")
+    bad = pairs.groupBy("c", "t").agg(F.count(F.lit(1)).alias("n_ct"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t")).filter(disclosure(F.col("n_ct")) >= generalise)
+    bad = bad.select("c", "t", (disclosure(F.col("n_ct"), PRIOR) >= remove).alias("go"))
+    worst = pairs.select("tag", "c", "t").join(bad, ["c", "t"]).groupBy("tag", "t").agg(F.max("go").alias("go"))  # remove wins over generalise
+    return worst.groupBy("tag").agg(F.collect_list(F.when(F.col("go"), F.col("t"))).alias("gone"), F.collect_list(F.when(~F.col("go"), F.col("t"))).alias("general"))
+
+
+def terms(text: Column, base: Column, gone: Column, general: Column) -> Column:
+    """Where the words of ``gone`` and ``general`` stand outside base matches, in order."""
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit([]).cast("array<struct<off:long,piece:string>>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        return F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("off"), p.alias("piece")))).alias("out"))
+
+    def words(p: Column) -> Column:
+        near = F.filter(base, lambda b: (b["start"] < p["off"] + F.length(p["piece"])) & (b["end"] > p["off"]))
+        hits = matches_of(p["piece"], WORD, "term", lambda w: F.array_contains(gone, hashed(w)) | F.array_contains(general, hashed(w)))
+        out = F.transform(hits, lambda w: F.struct(w["kind"].alias("kind"), (p["off"] + w["start"]).alias("start"), (p["off"] + w["end"]).alias("end"), F.when(F.array_contains(gone, hashed(w["value"])), "remove").otherwise("generalise").alias("value")))
+        return F.filter(out, lambda w: ~F.exists(near, lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
+
+    return F.flatten(F.transform(F.aggregate(pieces, start, step, lambda acc: acc["out"]), words)).cast(SPAN)
 
 
 def spans(docs: DataFrame, *, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Per row: doc_id, tag, base, terms (array of kind, start, end, action as value)."""
-    found = detected(docs)
-    near = stored(contexts(found).distinct(), "pii-contexts")
-    bad = disclosing(docs, near, generalise, remove)
-    hits = near.join(bad, ["entity", "word"]).groupBy("doc_id", "tag", "start", "end").agg(F.max("action").alias("action"))  # remove wins over generalise
-    terms = hits.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end", F.col("action").alias("value")))).cast(SPAN).alias("terms"))
-    return found.select("doc_id", "tag", "base").join(terms, ["doc_id", "tag"], "left").withColumn("terms", F.coalesce("terms", F.lit([]).cast(SPAN)))
+    found = stored(detected(docs), "pii-base")
+    bad = disclosing(docs, found, generalise, remove)
+    marked = F.col("doc_id").isNotNull() & F.col("gone").isNotNull()
+    found = found.join(bad, "tag", "left").withColumn("terms", F.when(marked, terms(F.col("text"), F.col("base"), F.col("gone"), F.col("general"))).otherwise(F.lit([]).cast(SPAN)))
+    return found.select("doc_id", "tag", "base", "terms")
 
 
 def report(docs: DataFrame, **thresholds: float) -> DataFrame:
