@@ -1,11 +1,12 @@
-"""Operator 8: substring dedup by prefix-partitioned suffix trees.
+"""Operator 8: substring dedup by grouping of window hashes, partitioned by prefix.
 
-Every word starts a suffix. Suffixes go to groups by a prefix of variable length: the slots of the first word's hash are counted
+It stands in for prefix-partitioned suffix trees, and is none: a tree's nodes of depth WINDOW are all that is used of it. Every word starts
+a suffix. Suffixes go to groups by a prefix of variable length: the slots of the first word's hash are counted
 over all documents, slots of few suffixes share a group, and slots beyond GROUP suffixes are split by longer prefixes (2, 4 or 8
-words, as much as their count asks for), so that each group fits a worker's memory. A group builds its subtree in suffix-array
-form: suffixes in order of their path to depth WINDOW; edge labels are compared by 64-bit fingerprints below the prefix, so equal
-neighbours are the leaves of one internal node of that depth or more. A node with leaves in several documents is a repeat: all its
-leaves but those of the smallest doc_id are marked. Overlapping marks join to the maximal repeats, which are cut out.
+words, as much as their count asks for), so that each group fits a worker's memory. A group sorts the 64-bit hashes of whole
+windows of WINDOW words; equal hashes are taken for equal words, which nothing confirms. Suffixes are not in order of
+their words, and there are no common-prefix lengths. A window in several documents is a repeat: all its
+places but those of the smallest doc_id are marked. Overlapping marks join to the maximal repeats, which are cut out.
 
 Before the shuffle each slice of documents reduces a node to the leaves of its smallest document: the others are marked on the
 spot, so a passage that a third of all documents share reaches its group once for each slice. What moves is about ten bytes a
