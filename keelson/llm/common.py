@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextvars
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,16 +12,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker holds as words at once.
 SLICE_BYTES = 6 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where it is unset (as in tests) a temporary one is made and set."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, one is made and set in local mode only (as in tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='keelson-')}"
         atexit.register(lambda: __import__("shutil").rmtree(found.removeprefix("file://"), ignore_errors=True))
         spark.conf.set("spark.checkpoint.dir", found)
@@ -28,28 +33,44 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Paths given out in this process, until they are released.
-_GIVEN: list[str] = []
+class Scratch:
+    """The tables that one run writes to the shared folder. Inside ``with``, ``fresh_path`` and ``stored`` hand them out on its account.
 
+    Runs beside it, in other threads too, have their own. A Scratch inside another hands what it keeps over to it.
+    """
 
-def fresh_path(spark: SparkSession, what: str) -> str:
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    _GIVEN.append(path)
-    return path
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        self._outer = _CURRENT.set(self)
+        return self
 
+    def __exit__(self, *_: object) -> None:
+        _CURRENT.reset(self._outer)
+        if outer := _CURRENT.get():
+            outer.paths += self.paths
 
-def given() -> tuple[str, ...]:
-    return tuple(_GIVEN)
+    def release(self, spark: SparkSession, *, keep: DataFrame | None = None) -> int:
+        """Deletes the run's tables but those that ``keep`` reads. Other frames on them must have been used."""
+        held = [] if keep is None else [f.rsplit("/", 1)[0] for f in keep.inputFiles()]
+        names = {h.rsplit("/", 1)[-1] for h in held}
+        gone = [p for p in self.paths if p.rsplit("/", 1)[-1] not in names]
+        for path in gone:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self.paths = [p for p in self.paths if p not in gone]
+        return len(gone)
 
 
-def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> int:
-    """Deletes the tables written to the shared folder so far, but those in ``keep``. Frames that still read them must have been used."""
-    gone = [p for p in _GIVEN if p not in keep]
-    for path in gone:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _GIVEN[:] = [p for p in _GIVEN if p in keep]
-    return len(gone)
+_CURRENT: contextvars.ContextVar[Scratch | None] = contextvars.ContextVar("scratch", default=None)
+
+
+def fresh_path(spark: SparkSession, what: str) -> str:
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    if run := _CURRENT.get():
+        run.paths.append(path)
+    return path
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -59,6 +80,38 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows of 64 bits that tell which ids may be in a set: a bound of 4 MB for the broadcast, however large the set.
+SLOTS = 1 << 18
+
+
+def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` by doc_id: those that may be in ``ids`` (one column, long), and those that surely aren't; null ids aren't.
+
+    A Bloom filter of one hash and bounded size is broadcast, so that only rows that may be meant have to move to meet ``ids``. A set
+    too large for the filter only makes more rows move.
+    """
+    h, bits, slot = F.xxhash64(F.col(ids.columns[0])), free(docs, "_bits"), free(docs, "_slot")
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    place = lambda h: F.pmod(F.shiftright(h, 6), F.lit(SLOTS))
+    table = F.broadcast(ids.select(place(h).alias(slot), bit(h).alias(bits)).groupBy(slot).agg(F.bit_or(bits).alias(bits)))
+    own = F.xxhash64(F.col("doc_id").cast("long"))
+    there = F.coalesce(F.col(bits).bitwiseAND(bit(own)), F.lit(0)) != 0
+    met = docs.withColumn(slot, F.when(F.col("doc_id").isNotNull(), place(own))).join(table, slot, "left")
+    return met.filter(there).select(*map(quoted, docs.columns)), met.filter(~there).select(*map(quoted, docs.columns))
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most ``most`` text bytes, or one row if that is longer."""
     if batch.num_rows == 0:
