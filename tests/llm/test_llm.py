@@ -164,11 +164,15 @@ def test_op10(spark, sample):
     docs = [*sample, *[(10_000 + k, t) for k, t in enumerate(EDGES)], *[(3_000 + k, t) for k, t in enumerate(near_copies(rng, base[0], 50, 6) + near_copies(rng, base[1], 90, 14))], (40_000, "THE " + base[0]), (40_001, "a b c d e f"), (40_002, "a b c d e"), (40_003, "one"), (40_004, "ONE")]
     cols = ["doc_id", "n_shingles", "component_id", "kept"]
     want = sorted(brute.op10(docs))
-    before = N.BLOCK
-    for block in (before, 20):
-        N.BLOCK = block
+    names = "STRAYS", "MEMBERS", "ROWS_OF_GROUP", "BLOCK", "BLOCK_BYTES", "PARTNER_BYTES", "GROUP_BYTES", "WORTH"
+    before = [getattr(N, x) for x in names]
+    assert rows(N.cluster(frame(spark, docs)), *cols) == want
+    for small in ((3, 5, 20, 4, 2000, 300, 2000, 8), (3, 5, 20, 20, 10**6, 300, 2000, 0)):  # blocks, groups and rounds change nothing
+        for x, v in zip(names, small, strict=True):
+            setattr(N, x, v)
         assert rows(N.cluster(frame(spark, docs)), *cols) == want
-    N.BLOCK = before
+    for x, v in zip(names, before, strict=True):
+        setattr(N, x, v)
     want5 = sorted(brute.op10(docs, 5))
     assert rows(N.cluster(frame(spark, docs), shingle=5), *cols) == want5
     assert sorted(r.doc_id for r in N.dedup(frame(spark, docs)).collect()) == [w[0] for w in want5 if w[3]]
