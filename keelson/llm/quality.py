@@ -4,12 +4,13 @@ Every word, word bigram (a word with itself: one feature) and character n-gram (
 document is the mean of its features' vectors, a linear layer with softmax gives the two classes, and numpy stochastic gradient
 descent learns both. After training a feature's vector meets the output layer once, so that a text's score is a mean of table values.
 
-The model is fitted on TRAIN_DOCS labelled documents at most (those of the least hashed ids, so the choice doesn't depend on
-partitioning); every whole text is scored. labels, lang, source and doc_id are no features.
+The model is fitted on TRAIN_DOCS labelled documents of TRAIN_BYTES of text at most (those of the least hashed ids that fit, so the choice
+doesn't depend on partitioning), in one task; every whole text is scored. labels, lang, source and doc_id are no features.
 
 Defined cases: a null or blank text has no features and gets the score of the bias; without labelled rows every score is 0.5;
-a null doc_id is held out; null labels are not learned from, a doc_id with several labels takes its least; an empty table gives
-no rows; other columns are ignored by ``score`` and kept by ``keep_good``.
+a null doc_id is held out; null labels are not learned from, a doc_id with several labels takes its least, one with several texts is
+learned from once, by its least text; a very long text is scored whole, in memory linear in it; an empty table gives no rows;
+other columns, whatever their names, are ignored by ``score`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import chain, hash_words, mix, slices, white_words
+from keelson.llm.common import Scratch, chain, hash_words, mix, slices, stored, white_words
 
 BUCKETS = 1 << 17
 DIM = 8
-TRAIN_DOCS = 4_000
+#: Bounds of the sample that the model is fitted on: documents, and bytes of their texts.
+TRAIN_DOCS, TRAIN_BYTES = 4_000, 32 << 20
 EPOCHS = 6
 RATE = 0.3
 NGRAMS = (3, 4)
@@ -114,8 +116,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], *, epochs: int = EP
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     output, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     output[0] = (-0.5, 0.5)
-    steps = done = 0
-    steps = max(1, epochs * len(samples))
+    done, steps = 0, max(1, epochs * len(samples))
     for _ in range(epochs):
         for k in rng.permutation(len(samples)).tolist():
             b, share, label = samples[k]
@@ -140,21 +141,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most: int = TRAIN_DOCS) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, *, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> tuple[np.ndarray, float]:
+    """The model, trained by one task on at most ``most`` labelled documents of ``most_bytes`` of text together; the driver gets the model alone."""
+    spark = docs.sparkSession
     known = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(most)  # at most TRAIN_DOCS small rows: a bound for the broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "_id")
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, most=2 << 20):
-                f = text_features(b.column("text"))
-                yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_label").cast(pa.int32()), pa.array([x.astype("<i4").tobytes() for x, _ in f], pa.binary()), pa.array([y.astype("<f4").tobytes() for _, y in f], pa.binary())], ["id", "label", "buckets", "shares"])
-
-    table = rows.select("_id", "_label", "text").mapInArrow(features, "id long, label int, buckets binary, shares binary").toArrow().sort_by("id")
-    samples = [(np.frombuffer(b, "<i4").astype(np.int64), np.frombuffer(s, "<f4"), y) for b, s, y in zip(table["buckets"].to_pylist()[:most], table["shares"].to_pylist()[:most], table["label"].to_pylist()[:most], strict=True)]
-    samples = [s for s in samples if len(s[0])]
-    return train(samples) if samples else (np.zeros(BUCKETS), 0.0)
+    text = F.col("text").cast("string")
+    with Scratch() as run:
+        # of rows with one doc_id the least text counts
+        rows = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), text.alias("text")).join(F.broadcast(chosen), "_id")
+        rows = stored(rows.groupBy("_id", "_label").agg(F.min("text").alias("text")), "quality-train")
+        sizes = rows.select("_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("_id"), "_id").collect()
+        held, size = [], 0
+        for r in sizes:
+            if size + r.n <= most_bytes:
+                size += r.n
+                held.append((r["_id"],))
+        if not held:
+            return np.zeros(BUCKETS), 0.0
+        own = rows.join(F.broadcast(spark.createDataFrame(held, "_id long")), "_id").repartition(1)
+
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            samples = []
+            for batch in batches:
+                for b in slices(batch, most=2 << 20):
+                    for i, label, (x, y) in zip(b.column("_id").to_pylist(), b.column("_label").to_pylist(), text_features(b.column("text")), strict=True):
+                        if len(x):
+                            samples.append((i, x.astype(np.int32), y, int(label)))
+            samples.sort(key=lambda s: s[0])
+            table, bias = train([s[1:] for s in samples]) if samples else (np.zeros(BUCKETS), 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([bias])], ["model", "bias"])
+
+        model = own.select("_id", "_label", "text").mapInArrow(learn, "model binary, bias double").collect()[0]
+        run.release(spark)
+    return np.frombuffer(model.model, np.float64), float(model.bias)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
