@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextvars
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,17 +20,20 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 6 << 20
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, one is made and set in local mode only (as in tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, one is made, in local mode only (as in tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='keelson-')}"
-        atexit.register(lambda: __import__("shutil").rmtree(found.removeprefix("file://"), ignore_errors=True))
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = f"file://{tempfile.mkdtemp(prefix='keelson-')}"
+            atexit.register(shutil.rmtree, _LOCAL[app].removeprefix("file://"), ignore_errors=True)
+        found = _LOCAL[app]
     return found.rstrip("/")
 
 
