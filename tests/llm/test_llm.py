@@ -67,12 +67,12 @@ def test_tokens(spark, sample):
     from keelson.llm.tokens import Encoder, tokenizer_path
 
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
     rng = random.Random(1)
     odd = ["a  b", "a \n b", "x   y", "don't 's", "<|endoftext|>", "　 a ", "a\n ", "é, é.", *["".join(rng.choices("ab1 \n\t 　'!é.,st", k=rng.randint(0, 12))) for _ in range(500)]]
     ids, counts = Encoder.of(tokenizer_path()).encode(pa.array([None, *odd], pa.string()))
     assert ids.tolist() == [i for t in odd for i in plain.encode(t, add_special_tokens=False).ids] and counts[0] == 0
-    docs = [*sample, *[(10_000 + k, t) for k, t in enumerate(EDGES)]]
+    assert Encoder.of(tokenizer_path()).encode(pa.array(["a <|endoftext|> b"]))[0].tolist() == [64, 220, 50256, 275]
+    docs = [*sample, *[(10_000 + k, t) for k, t in enumerate(EDGES)], (30_000, "a<|endoftext|>b, c<|endoftext|>")]
     path = fresh_path(spark, "test-tokens")
     write_tokens(frame(spark, docs), path)
     start, want = 0, []
@@ -84,6 +84,10 @@ def test_tokens(spark, sample):
     empty = fresh_path(spark, "test-tokens")
     write_tokens(frame(spark, []), empty)
     assert read_tokens(spark, empty).count() == 0
+    again = fresh_path(spark, "test-tokens")  # repeated and null ids: null first, each row by itself
+    write_tokens(frame(spark, [(7, "a b"), (None, "c"), (7, "a b"), (7, None)]), again)
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in read_tokens(spark, again).collect()) == [(-1, 2), (7, 1), (7, 3), (7, 3)]
+    assert [r.start for r in read_tokens(spark, again).filter("doc_id IS NULL").collect()] == [0]
     for n in (0, 1, 33, 40_000):
         a = np.random.default_rng(n).zipf(1.5, n).clip(0, 60_000).astype(np.uint32)
         data = encode_segment(a)
@@ -102,7 +106,7 @@ def test_packing(spark, sample):
     from keelson.llm.tokens import tokenizer_path
 
     plain = Tokenizer.from_file(tokenizer_path())
-    docs = [*sample, *[(10_000 + k, t) for k, t in enumerate(EDGES)], (5, "a row more with a doc_id that is there")]
+    docs = [*sample, *[(10_000 + k, t) for k, t in enumerate(EDGES)], (5, "a row more with a doc_id that is there"), (30_000, "a<|endoftext|>b")]
     before, P.GROUP_ITEMS = P.GROUP_ITEMS, 40
     got = P.pack_documents(frame(spark, docs)).toPandas()
     P.GROUP_ITEMS = before
@@ -115,7 +119,16 @@ def test_packing(spark, sample):
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 2048
     assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 2048) * 1.1 + 2
+    # the certificate: bins of a group are there, no fewer than its bound; full bins are groups of their own
+    whole = got.groupby("sequence_id")["length"].sum()
+    full = got["sequence_id"].map(whole) == 2048
+    assert (got["group_bins"] >= got["group_bound"]).all() and (got[~full]["group_bins"] > 0).all()
+    own = got.groupby("sequence_id")[["group_bins", "group_bound"]].first()
+    for (bins, bound), g in own.groupby(["group_bins", "group_bound"]):
+        assert bound >= 1 and (bins == 1 or len(g) % 1 == 0)
+    assert sum(1 / b for b in own["group_bins"]) <= len(own) and got["sequence_id"].nunique() - own["group_bound"].div(own["group_bins"]).sum() < 3
     assert P.pack_documents(frame(spark, [])).count() == 0
+    assert sorted((r.doc_id or -1, r.length) for r in P.pack_documents(frame(spark, [(None, "a b"), (None, None), (1, "")])).collect()) == [(-1, 1), (-1, 3), (1, 1)]
     import numpy as np
 
     for k in range(20):
@@ -236,15 +249,29 @@ def test_op5(spark, sample):
     from keelson.llm import line_dedup as L
 
     rng = random.Random(4)
-    lines = [f"line {k}" for k in range(12)] + ["", " \t"]
-    docs = [*sample, *[(10_000 + k, t) for k, t in enumerate(EDGES)], *[(3_000 - k, "\n".join(rng.choices(lines, k=rng.randint(0, 14)))) for k in range(120)], (20_000, "a\n" * 50), (20_001, "x\n\ny\nz\n"), (20_002, "w\nx\ny\nz"), (20_003, "　\n　\n　\n　")]
+    lines = [f"line {k}" for k in range(12)] + ["", " \t"] + [f"long {k} " * 50 for k in range(3)] + [f"middling {k} " * 16 for k in range(3)]
+    docs = [*sample, *[(10_000 + k, t) for k, t in enumerate(EDGES)], *[(3_000 - k, "\n".join(rng.choices(lines, k=rng.randint(0, 14)))) for k in range(160)], (20_000, "a\n" * 50), (20_001, "x\n\ny\nz\n"), (20_002, "w\nx\ny\nz"), (20_003, "　\n　\n　\n　")]
     documents = pd.DataFrame(docs, columns=["doc_id", "text"])  # noqa: F841
     want = sorted(duckdb.sql(L.sql()).fetchall())
     cols = ["doc_id", "n_lines", "n_removed", "text"]
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, L.line_report(frame(spark, docs)).select(cols).collect()), key=key) == sorted(want, key=key)
-    wide = sorted(duckdb.sql(L.sql(2, 4)).fetchall())
-    assert sorted(map(tuple, L.line_report(frame(spark, docs), gram=2, window=4).select(cols).collect()), key=key) == sorted(wide, key=key)
+    wide = sorted(duckdb.sql(L.sql(5, 700)).fetchall())
+    assert wide != want and sorted(map(tuple, L.line_report(frame(spark, docs), lines=5, long=700).select(cols).collect()), key=key) == sorted(wide, key=key)
+    # plain Python, for the SQL itself
+    seen, gone = set(), {}
+    for d, t in sorted(x for x in docs if x[1] is not None):
+        full = [(k, x) for k, x in enumerate(t.split("\n")) if x.translate(dict.fromkeys(map(ord, L.BLANK)))]
+        runs = [full[j : j + m] for j in range(len(full)) for m in (1, 2, 3) if j + m <= len(full)]
+        for run in runs:  # in order of where they begin
+            words = tuple(x for _, x in run)
+            if len(run) == 3 or sum(len(x.encode()) for x in words) >= L.LONG:
+                if words in seen:
+                    gone.setdefault(d, set()).update(k for k, _ in run)
+                seen.add(words)
+    assert {d: n for d, _, n, _ in want if n} == {d: len(g) for d, g in gone.items()}
+    one = "a single line of more than fifty words " * 8
+    assert [r.n_removed for r in L.line_report(frame(spark, [(1, one), (2, "short\n" + one + "\nother")])).orderBy("doc_id").collect()] == [0, 1]
     out = L.dedup(frame(spark, docs))
     assert out.columns == frame(spark, docs).columns
     got = {r.doc_id: (r.text, r.n_chars, r.kept) for r in out.collect()}
@@ -255,6 +282,41 @@ def test_op5(spark, sample):
     assert L.line_report(frame(spark, [])).count() == 0
 
 
+CLASH = ["_id", "_key", "_gone", "_tag", "_lines", "_text", "_spans", "_bits", "_slot", "_label", "_K`ey", "seq", "q", "g"]
+
+
+def clashing(spark, texts):
+    """Documents with columns that are named as an operator might name its own."""
+    rows_ = [(d, t, *[f"{c} of {d}" for c in CLASH]) for d, t in texts]
+    return spark.createDataFrame(rows_, "doc_id long, text string, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in CLASH))
+
+
+def test_columns_of_any_name_pass_through(spark):
+    from keelson.llm import decontaminate, line_dedup, near_dedup, pii, quality
+
+    texts = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny"), (3, "mail a@b.co now"), (4, None), (5, "a\nb\nc\nd")]
+    df = clashing(spark, texts)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "never in there")], "item_id long, text string")
+    for run in (line_dedup.dedup, near_dedup.dedup, pii.sanitize, lambda d: quality.keep_good(d, labels), lambda d: decontaminate.decontaminate(d, bench)):
+        out = run(df)
+        assert out.columns == df.columns
+        found = out.collect()
+        assert found and all(r[c] == f"{c} of {r.doc_id}" for r in found for c in CLASH)
+
+
+def test_op5_on_a_text_of_very_many_lines(spark):
+    import time
+
+    from keelson.llm import line_dedup as L
+
+    text = "\n".join(f"row {k}" for k in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, text + "\nlast")], "doc_id long, text string").repartition(2)
+    began = time.time()
+    assert [(r.doc_id, r.n_lines, r.n_removed, r.text) for r in L.line_report(df).orderBy("doc_id").collect()] == [(1, 100_000, 0, text), (2, 100_001, 100_000, "last")]
+    assert time.time() - began < 60
+
+
 def test_op6(spark, sample):
     from keelson.llm import pii as P
 
