@@ -2,11 +2,13 @@
 
 Every document is cut into pieces; a full piece is a sequence of its own, the rest (one at most a document) are packed by
 best-fit decreasing in groups of GROUP_ITEMS. For each group dual feasible functions give a lower bound of its bins: a group that
-meets its bound is certified and done. The others release the documents of their bins that waste more than WASTE tokens; the
-released documents are dealt anew over all such groups and packed again, and a round is kept only if it saves bins.
+meets its bound is certified and done. The others release the documents of their bins that are not full; the released documents are
+dealt anew over all such groups and packed again, and a round is kept only if it saves bins. Rounds go on until every group
+is certified or MISSES exchanges in a row save nothing. The certificate is part of the result: for each piece the bins of its group and
+the bound under them (a full bin is its own certificate), so a gap that stays open shows.
 
 Only lengths and row numbers move between rounds. Defined cases: null text is empty and has the end id alone; rows with the same
-doc_id are packed apart; an empty table gives no rows; other columns are ignored.
+doc_id, or a null one, are packed apart; a very long text gives many full pieces; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +26,9 @@ from keelson.llm.common import slices, stored
 from keelson.llm.tokens import Encoder, crc, tokenizer_path
 
 GROUP_ITEMS = 6_000
-WASTE = 8
-ROUNDS = 4
+MISSES = 2
 PIECES = "rid long, doc_id long, piece int, start long, length long, ids_crc32 long"
-BINS = "rid long, length long, bin long, offset long, used long, grp long, gap long"
+BINS = "rid long, length long, bin long, offset long, used long, bins long, bound long"
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -108,40 +109,37 @@ def _packed(items: DataFrame, groups: int, salt: int, capacity: int, base: int)
         lengths = pdf["length"].to_numpy()
         bins, offsets, used = best_fit_decreasing(lengths, capacity)
         grp = int(pdf["grp"].iloc[0])
-        gap = len(used) - lower_bound(lengths, capacity)
-        return pd.DataFrame({"rid": pdf["rid"], "length": lengths, "bin": base + (grp << 24) + bins, "offset": offsets, "used": used[bins], "grp": grp, "gap": gap})
+        return pd.DataFrame({"rid": pdf["rid"], "length": lengths, "bin": base + (grp << 24) + bins, "offset": offsets, "used": used[bins], "bins": len(used), "bound": lower_bound(lengths, capacity)})
 
     dealt = items.select("rid", "length", F.pmod(F.xxhash64("rid", F.lit(salt)), F.lit(groups)).alias("grp"))
     return dealt.groupBy("grp").applyInPandas(pack, BINS)
 
 
 def pack_documents(docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None = None, end_id: int | None = 0) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the certificate: group_bins, group_bound."""
     cut = stored(pieces(docs, capacity=capacity, tokenizer=tokenizer or tokenizer_path(), end_id=end_id), "packing-pieces")
-    full = cut.filter(F.col("length") == capacity).select("rid", F.col("rid").alias("bin"), F.lit(0).cast("long").alias("offset"))
+    one, cols = F.lit(1).cast("long"), ["rid", "bin", "offset", "bins", "bound"]
+    done = cut.filter(F.col("length") == capacity).select("rid", F.col("rid").alias("bin"), F.lit(0).cast("long").alias("offset"), one.alias("bins"), one.alias("bound"))
     items = cut.filter(F.col("length") < capacity).select("rid", "length")
-    done = [full]
-    n = items.count()
+    n, k, misses = items.count(), 0, 0
     placed = stored(_packed(items, max(1, -(-n // GROUP_ITEMS)), 0, capacity, 1 << 62), "packing-0") if n else None
-    for k in range(1, ROUNDS + 1):
-        if placed is None:
-            break
-        open_ = (F.col("gap") > 0) & (F.col("used") < capacity - WASTE)
+    open_ = (F.col("bins") > F.col("bound")) & (F.col("used") < capacity)
+    while placed is not None and misses < MISSES:
+        k += 1
         now = placed.filter(open_).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("offset") == 0, 1)).alias("bins")).head()
         if not now.n:
             break
-        again = stored(_packed(placed.filter(open_).select("rid", "length"), max(1, -(-now.n // GROUP_ITEMS)), k, capacity, (1 << 62) + (k << 54)), f"packing-{k}")
-        bins = again.agg(F.sum(F.when(F.col("offset") == 0, 1))).head()[0]
-        if bins >= now.bins:
-            break
-        done.append(placed.filter(~open_).select("rid", "bin", "offset"))
-        placed = again
+        again = stored(_packed(placed.filter(open_).select("rid", "length"), max(1, -(-now.n // GROUP_ITEMS)), k, capacity, (1 << 62) + (k << 48)), f"packing-{k}")
+        if again.agg(F.sum(F.when(F.col("offset") == 0, 1))).head()[0] < now.bins:
+            # what stays of an open group is its full bins
+            full = F.col("bins") > F.col("bound")
+            done = done.unionAll(placed.filter(~open_).select("rid", "bin", "offset", F.when(full, one).otherwise(F.col("bins")).alias("bins"), F.when(full, one).otherwise(F.col("bound")).alias("bound")))
+            placed, misses = again, 0
+        else:
+            misses += 1
     if placed is not None:
-        done.append(placed.select("rid", "bin", "offset"))
-    where = done[0]
-    for d in done[1:]:
-        where = where.unionAll(d)
-    return cut.join(where, "rid").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+        done = done.unionAll(placed.select(cols))
+    return cut.join(done, "rid").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset", F.col("bins").alias("group_bins"), F.col("bound").alias("group_bound"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Byte-level pre-tokenisation never joins a non-space to a following space, nor an ASCII letter to a following ASCII mark, so a
 text with single spaces may be cut there and the pieces encoded apart: the ids are the same. Texts where that might not hold
-(two spaces in a row, or white space before a final space) are encoded whole. Pieces repeat by Zipf's law, so most are in the
+(two spaces in a row, white space before a final space, or the string of an added token such as <|endoftext|>, which the library
+gives its own id) are encoded whole. Pieces repeat by Zipf's law, so most are in the
 cache; it is a sorted array of 64-bit hashes, looked up for a whole slice of texts at once, and a hit must also agree in length
 and in its first and last eight bytes.
 """
@@ -41,7 +42,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that are one token wherever they stand, white space around them perhaps included.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self._clear()
 
     def _clear(self) -> None:
@@ -68,7 +70,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and how many each has; null is empty."""
         raw = [(t or "").encode() for t in texts.to_pylist()]
-        whole = [k for k, t in enumerate(raw) if b"  " in t or (t[-1:] == b" " and t.decode()[-2:-1].isspace())]
+        whole = [k for k, t in enumerate(raw) if b"  " in t or (t[-1:] == b" " and t.decode()[-2:-1].isspace()) or any(a in t for a in self.added)]
         whole_ids = dict(zip(whole, self._split(*self._encoded([raw[k].decode() for k in whole])), strict=True)) if whole else {}
         for k in whole:
             raw[k] = b""
