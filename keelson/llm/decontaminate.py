@@ -231,5 +231,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     return docs.mapInArrow(run, docs.schema)
 
 
+def _words_sql(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+ORACLE_SQL = f"""WITH b AS (SELECT item_id, {_words_sql('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
+t AS (SELECT DISTINCT item_id, w[i:i + {WINDOW - 1}] AS win FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_words_sql('text')} AS w FROM documents),
+v AS (SELECT doc_id, i, w[i:i + n - 1] AS win, n FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT len(win) AS n FROM t))),
+h AS (SELECT doc_id, i, n, item_id FROM v JOIN t USING (win)),
+p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM h) GROUP BY 1),
+m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= {MIN_ITEMS} AS contaminated
+ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -25,4 +25,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_vocabulary": url_filter.ORACLE_SQL, "op5_winnow_lines": line_dedup.sql()}
+    return {
+        "op4_url_vocabulary": url_filter.ORACLE_SQL,
+        "op5_winnow_lines": line_dedup.sql(),
+        "op8_suffix_tree_dedup": substring_dedup.ORACLE_SQL,
+        "op9_suffix_array_decontam": decontaminate.ORACLE_SQL,
+        "op10_odd_sketch_neardup": near_dedup.ORACLE_SQL,
+    }
