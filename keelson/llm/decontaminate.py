@@ -1,21 +1,24 @@
 """Operator 9: benchmark decontamination by training suffix arrays.
 
 Documents are taken in shards of a few MB. Each shard gets a suffix array over its words, of those suffixes that can begin a
-match (their first two words follow one another in the benchmark), sorted to the window's depth. Every test suffix is binary-searched
-in every shard; the ranges found give all verbatim occurrences, neighbouring ones join to the longest matches.
+match (their first two words follow one another in the benchmark), sorted to the window's depth. The first WINDOW words of every test
+suffix are binary-searched in every shard; the ranges found give all verbatim occurrences. Occurrences that follow one another both
+in the document and in the item extend to the longest verbatim match, whose length and places in both are part of the result.
 
 Words are lower-cased (A-Z) runs of ASCII letters and digits and all bytes beyond ASCII. A window is WINDOW words of an item; an
-item of fewer is one window. The benchmark is a stated test set: it goes to the executors in blocks of at most BLOCK_BYTES of text,
-one pass over the shards each, so what is broadcast is bounded however long it is.
+item of fewer is one window. The benchmark is a stated test set: it goes to the executors in blocks of at most BLOCK_BYTES of text, built
+one by one on the driver; a longer item is cut, with an overlap that loses no window. A worker holds one block at a time.
 
 Defined cases: null texts have no words, hits or items; items without words or id match nothing; repeated items count by
-distinct item_id; empty tables give no hits; an empty text has no words. Other columns pass through untouched.
+distinct item_id; rows of documents are judged one by one, repeated or not; empty tables give no hits; an empty text has no words; a
+very long text is a shard of its own. Of longest matches the first in the document counts, then the smallest item_id. Other columns, whatever
+their names, pass through ``decontaminate`` untouched.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,19 +34,23 @@ BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 8 << 20
 #: Items whose windows occur in a document that ``scan`` calls contaminated.
 MIN_ITEMS = 2
-DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_at long, longest_item long"
 
 
 @dataclass
 class TestSet:
-    """Distinct windows of a block of items as rows of word numbers (0: past a short item's end), and who has them."""
+    """Distinct windows of a block of items as rows of word numbers (0: past a short item's end), who has them, and where: a place is a
+    number over all words of the block, so that neighbouring places are neighbours in an item."""
 
     vocabulary: pa.Array
     windows: np.ndarray
     sizes: np.ndarray
     owner_at: np.ndarray
     owners: np.ndarray
-    ids: np.ndarray
+    place_at: np.ndarray
+    places: np.ndarray
+    item_at: np.ndarray
+    items: np.ndarray
     pairs: np.ndarray | None
 
     @staticmethod
@@ -53,9 +60,10 @@ class TestSet:
             return None
         coded = flat.dictionary_encode()
         word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        rows, owner, at = [], [], 0
+        rows, owner, place, at = [], [], [], 0
         for item, n in zip(ids, counts.tolist(), strict=True):
             own = word[at : at + n]
+            place += range(at, at + (max(1, n - window + 1) if n else 0))
             at += n
             if n >= window:
                 rows.append(np.lib.stride_tricks.sliding_window_view(own, window))
@@ -63,12 +71,15 @@ class TestSet:
                 rows.append(np.pad(own, (0, window - n))[None])
             owner += [item] * (max(1, n - window + 1) if n else 0)
         windows, back = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
-        both = np.unique(np.stack([back.reshape(-1), np.array(owner)], 1), axis=0)
+        back, place = back.reshape(-1), np.array(place, np.int64)
+        both = np.unique(np.stack([back, np.array(owner)], 1), axis=0)
+        order = np.lexsort((place, back))
         pairs = None
         if window > 1 and (windows[:, 1] > 0).all():
             pairs = np.zeros(1 << 22, bool)
             pairs[TestSet.slot(windows[:, 0], windows[:, 1])] = True
-        return TestSet(coded.dictionary, windows, (windows > 0).sum(1), np.searchsorted(both[:, 0], np.arange(len(windows) + 1)), both[:, 1], np.unique(both[:, 1]), pairs)
+        every = np.arange(len(windows) + 1)
+        return TestSet(coded.dictionary, windows, (windows > 0).sum(1), np.searchsorted(both[:, 0], every), both[:, 1], np.searchsorted(back[order], every), place[order], np.cumsum(counts), np.array(ids, np.int64), pairs)
 
     @staticmethod
     def slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -136,9 +147,37 @@ def search(texts: pa.Array, test: TestSet) -> tuple[np.ndarray, np.ndarray, np.n
     return counts, start[at], which, doc[start[at]]
 
 
-def digest(texts: pa.Array, tests: list[TestSet]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Words, hit words and item ids of each text, over all blocks of the benchmark."""
-    counts, items = None, []
+def longest(at: np.ndarray, which: np.ndarray, doc: np.ndarray, test: TestSet) -> dict[int, tuple[int, int, int]]:
+    """For each text with occurrences its longest verbatim match: (words, minus the first flat word, minus the item's id).
+
+    Matches grow word by word: one at a place follows one at the place before. Only two neighbouring words' places are held.
+    """
+    best: dict[int, tuple[int, int, int]] = {}
+    order = np.lexsort((which, at))
+    last_at, last_doc = -2, -1
+    last_places, last_runs = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    window = test.windows.shape[1]
+    for p, w, d in zip(at[order].tolist(), which[order].tolist(), doc[order].tolist(), strict=True):
+        places = test.places[test.place_at[w] : test.place_at[w + 1]]
+        size = int(test.sizes[w])
+        runs = np.ones(len(places), np.int64)
+        if size == window:
+            if p == last_at + 1 and d == last_doc and len(last_places):
+                k = np.minimum(np.searchsorted(last_places, places - 1), len(last_places) - 1)
+                follows = last_places[k] == places - 1
+                runs[follows] += last_runs[k[follows]]
+            last_at, last_doc, last_places, last_runs = p, d, places, runs
+        most = int(runs.max())
+        ids = test.items[np.searchsorted(test.item_at, places[runs == most], side="right")]
+        found = (most + size - 1, -(p - most + 1), -int(ids.min()))
+        if found > best.get(d, (0, 0, 0)):
+            best[d] = found
+    return best
+
+
+def digest(texts: pa.Array, tests: Iterable[TestSet]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[tuple[int, int | None, int | None]]]:
+    """Words, hit words, item ids and the longest match (words, first word, item) of each text, over all blocks of the benchmark."""
+    counts, items, best = None, [], {}
     for test in tests:
         counts, at, which, doc = search(texts, test)
         if not items:
@@ -153,27 +192,27 @@ def digest(texts: pa.Array, tests: list[TestSet]) -> tuple[np.ndarray, np.ndarra
         cuts = np.searchsorted(owner_doc, np.arange(len(counts) + 1))
         for d in np.unique(owner_doc).tolist():
             items[d] = np.union1d(items[d], own[cuts[d] : cuts[d + 1]])
+        for d, found in longest(at, which, doc, test).items():
+            best[d] = max(found, best.get(d, found))
     if counts is None:
         counts = alnum_words(texts)[1]
-        return counts, np.zeros(len(counts), np.int64), [np.zeros(0, np.int64)] * len(counts)
+        return counts, np.zeros(len(counts), np.int64), [np.zeros(0, np.int64)] * len(counts), [(0, None, None)] * len(counts)
     hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
     ends = np.cumsum(counts)
-    return counts, hit[ends] - hit[ends - counts], items
+    base = (ends - counts).tolist()
+    runs = [(best[d][0], -best[d][1] - base[d], -best[d][2]) if d in best else (0, None, None) for d in range(len(counts))]
+    return counts, hit[ends] - hit[ends - counts], items, runs
 
 
-def longest_matches(texts: pa.Array, test: TestSet) -> list[tuple[int, int, int]]:
-    """(text, first word in the text, words) of each longest run of overlapping occurrences."""
-    _, at, which, doc = search(texts, test)
-    spans = sorted({(int(d), int(a), int(a + n)) for d, a, n in zip(doc, at, test.sizes[which], strict=True)})
-    counts = alnum_words(texts)[1]
-    base = (np.cumsum(counts) - counts).tolist()
-    out: list[list[int]] = []
-    for d, a, z in spans:
-        if out and out[-1][0] == d and a <= out[-1][2]:
-            out[-1][2] = max(out[-1][2], z)
-        else:
-            out.append([d, a, z])
-    return [(d, a - base[d], z - a) for d, a, z in out]
+def pieces(text: str, window: int) -> Iterator[str]:
+    """A text of more than BLOCK_BYTES in parts of about that, which overlap by a window less a word."""
+    if len(text) <= BLOCK_BYTES:
+        yield text
+        return
+    flat, _ = alnum_words(pa.array([text], pa.large_string()))
+    step = max(window, len(flat) * BLOCK_BYTES // max(1, len(text)))
+    for a in range(0, max(1, len(flat) - window + 1), step):
+        yield " ".join(flat.slice(a, step + window - 1).to_pylist())
 
 
 def test_blocks(benchmark: DataFrame, window: int = WINDOW) -> list:
@@ -188,28 +227,37 @@ def test_blocks(benchmark: DataFrame, window: int = WINDOW) -> list:
         ids.clear(), texts.clear()
 
     for r in rows.toLocalIterator():
-        if size + len(r.text) > BLOCK_BYTES:
-            flush()
-            size = 0
-        ids.append(r.item_id)
-        texts.append(r.text)
-        size += len(r.text)
+        for text in pieces(r.text, window):
+            if size + len(text) > BLOCK_BYTES:
+                flush()
+                size = 0
+            ids.append(r.item_id)
+            texts.append(text)
+            size += len(text)
     flush()
     return out
 
 
+def each(blocks: list) -> Iterator[TestSet]:
+    """One block after the other; of several none is kept in this worker's memory."""
+    for b in blocks:
+        yield b.value
+        if len(blocks) > 1:
+            vars(b).pop("_value", None)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
     """The digest of every document."""
     blocks = test_blocks(benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = [b.value for b in blocks]
         for batch in batches:
             for b in slices(batch, most=SHARD_BYTES):
-                counts, hit, items = digest(b.column("text"), tests)
+                counts, hit, items, runs = digest(b.column("text"), each(blocks))
                 n = np.array([len(i) for i in items], np.int64)
                 sums = [hashlib.sha256(",".join(sorted(map(str, i.tolist()))).encode()).hexdigest() if len(i) else EMPTY for i in items]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts), pa.array(hit), pa.array(n), pa.array(sums), pa.array(n >= min_items)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                cols = [b.column("doc_id"), pa.array(counts), pa.array(hit), pa.array(n), pa.array(sums, pa.string()), pa.array(n >= min_items), *[pa.array([r[k] for r in runs], pa.int64()) for k in range(3)]]
+                yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in DIGEST.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, DIGEST)
 
@@ -222,10 +270,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     blocks = test_blocks(benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = [b.value for b in blocks]
         for batch in batches:
             for b in slices(batch, most=SHARD_BYTES):
-                _, _, items = digest(b.column("text"), tests)
+                items = digest(b.column("text"), each(blocks))[2]
                 yield b.filter(pa.array([len(i) < min_items for i in items]))
 
     return docs.mapInArrow(run, docs.schema)
@@ -236,14 +283,16 @@ def _words_sql(text: str) -> str:
 
 
 ORACLE_SQL = f"""WITH b AS (SELECT item_id, {_words_sql('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
-t AS (SELECT DISTINCT item_id, w[i:i + {WINDOW - 1}] AS win FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1)) AS i FROM b WHERE len(w) > 0)),
+t AS (SELECT item_id, i AS place, w[i:i + {WINDOW - 1}] AS win FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1)) AS i FROM b WHERE len(w) > 0)),
 d AS (SELECT doc_id, {_words_sql('text')} AS w FROM documents),
 v AS (SELECT doc_id, i, w[i:i + n - 1] AS win, n FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT len(win) AS n FROM t))),
-h AS (SELECT doc_id, i, n, item_id FROM v JOIN t USING (win)),
+h AS (SELECT doc_id, i, n, item_id, i - place AS diagonal, i - row_number() OVER (PARTITION BY doc_id, item_id, i - place, n ORDER BY i) AS island FROM v JOIN t USING (win)),
 p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM h) GROUP BY 1),
-m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY 1)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= {MIN_ITEMS} AS contaminated
- FROM d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)"""
+m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY 1),
+r AS (SELECT doc_id, item_id, min(i) - 1 AS began, CASE WHEN n = {WINDOW} THEN count(*) + n - 1 ELSE n END AS words FROM h GROUP BY doc_id, item_id, diagonal, n, island),
+l AS (SELECT doc_id, words AS longest, began AS longest_at, item_id AS longest_item FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, began, item_id) = 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= {MIN_ITEMS} AS contaminated,
+ CAST(coalesce(longest, 0) AS BIGINT) AS longest, CAST(longest_at AS BIGINT) AS longest_at, longest_item FROM d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN l USING (doc_id)"""
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

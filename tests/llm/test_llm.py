@@ -50,11 +50,18 @@ def test_op9(spark, sample):
     assert D.scan(frame(spark, []), b).count() == 0
     before, D.BLOCK_BYTES = D.BLOCK_BYTES, 300  # several blocks give the same
     assert rows(D.scan(frame(spark, docs), b), *cols) == want
+    D.BLOCK_BYTES = 60  # so do items that are cut
+    assert rows(D.scan(frame(spark, docs), b), *cols) == want
     D.BLOCK_BYTES = before
-    import pyarrow as pa
+    import duckdb
+    import pandas as pd
 
-    t = D.TestSet.build([1], ["a b c d e f g h i j"], 8)
-    assert D.longest_matches(pa.array(["x a b c d e f g h i j y", "a b c d e f g"]), t) == [(0, 1, 10)]
+    documents, benchmark = pd.DataFrame(docs, columns=["doc_id", "text"]), pd.DataFrame(bench, columns=["item_id", "text"]).astype({"item_id": "Int64"})  # noqa: F841
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, D.scan(frame(spark, docs), b).collect()), key=key) == sorted(duckdb.sql(D.ORACLE_SQL).fetchall(), key=key)
+    runs = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "c d e f g h i j k l m"), (3, "u u u u u u u u u u")], "item_id long, text string")
+    texts = ["x a b c d e f g h i j y", "a b c d e f g", "z a b c d e f g h i j k l", "u u u u u u u u u " * 3, "a b c d e f g h u u u u u u u u"]
+    assert rows(D.scan(frame(spark, texts), runs), "doc_id", "longest", "longest_at", "longest_item") == [(0, 10, 1, 1), (1, 0, None, None), (2, 10, 1, 1), (3, 10, 0, 3), (4, 8, 0, 1)]
 
 
 def test_tokens(spark, sample):
