@@ -18,7 +18,8 @@ Patterns are the contract's, with possessive loops and a look-behind: the same m
 long runs. Offsets are code points, ends exclusive.
 
 Defined cases: null text is empty; rows with the same text are one in counts and get the same spans; a null
-doc_id takes no part in counts and has base spans only; an empty table gives no rows; other columns are ignored, and kept by ``sanitize``.
+doc_id takes no part in counts and has base spans only; an empty table gives no rows; a very long text is searched whole (the replacing of
+its spans by ``sanitize`` costs spans times length); other columns, whatever their names, are ignored, and kept by ``sanitize``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import stored
+from keelson.llm.common import free, quoted, stored
 
 # The contract's patterns, written so that Java neither recurses nor rescans.
 PATTERNS = {
@@ -39,23 +40,53 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 WORD = r"[\p{L}\p{M}\p{N}]{2,}+|\p{IsIdeographic}"
 #: Up to so many characters, and on to the end of a word: offsets add up over pieces, words over one piece only.
 PIECE = r"(?s).{1,512}+[\p{L}\p{M}\p{N}]*+"
+#: Parts whose offsets add up one by one.
+STEP = 64
 PRIOR = 1.0
 GENERALISE, REMOVE = 0.8, 0.95
 SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def laid_out(parts: Column, length, row, kind: str) -> Column:
+    """``row(part, offset)`` for each part, which stand one after the other. Offsets add up in blocks of STEP, so that long lists aren't quadratic."""
+    none = F.lit([]).cast(kind)
+
+    def block(p: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), none.alias("out"))
+        return F.aggregate(p, start, lambda acc, x: F.struct((acc["at"] + length(x)).alias("at"), F.concat(acc["out"], F.array(row(x, acc["at"]))).cast(kind).alias("out")), lambda acc: acc["out"])
+
+    def blocks(p: Column) -> Column:
+        count = F.ceil(F.size(p) / STEP).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(p, k * STEP + 1, STEP))
+        zero = F.lit(0).cast("long")
+
+        def placed(c: Column) -> Column:
+            sizes = F.transform(c, lambda x: F.aggregate(x, zero, lambda acc, y: acc + length(y)))
+            return let(sizes, lambda z: F.flatten(F.transform(c, lambda x, k: block(x, F.aggregate(F.slice(z, F.lit(1), k), zero, lambda acc, y: acc + y)))))
+
+        return F.when(count > 0, let(cut, placed)).otherwise(none)
+
+    return let(parts, blocks)
+
+
 def matches_of(text: Column, pattern: str, kind: str, good) -> Column:
     """Matches as structs: the gaps that split leaves and the matches themselves add up to the offsets."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit([]).cast(SPAN).alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        at = acc["at"] + F.length(p["gap"])
-        span = F.struct(F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(p["hit"])).alias("end"), p["hit"].alias("value"))
-        return F.struct((at + F.length(p["hit"])).alias("at"), F.when(good(p["hit"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).cast(SPAN).alias("out"))
+    def span(p: Column, at: Column) -> Column:
+        begin = at + F.length(p["gap"])
+        return F.struct(F.lit(kind).alias("kind"), begin.alias("start"), (begin + F.length(p["hit"])).alias("end"), p["hit"].alias("value"))
 
-    zipped = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    return F.when(F.size(found) > 0, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.lit([]).cast(SPAN))
+    def spans_of(hits: Column) -> Column:
+        zipped = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
+        return F.filter(laid_out(zipped, lambda p: F.length(p["gap"]) + F.length(p["hit"]), span, SPAN), lambda s: good(s["value"]))
+
+    return F.coalesce(let(found, lambda hits: F.when(F.size(hits) > 0, spans_of(hits))), F.lit([]).cast(SPAN))
 
 
 def digits(m: Column) -> Column:
@@ -142,11 +173,7 @@ def disclosing(docs: DataFrame, found: DataFrame, generalise: float, remove: flo
 
 def terms(text: Column, base: Column, gone: Column, general: Column) -> Column:
     """Where the words of ``gone`` and ``general`` stand outside base matches, in order."""
-    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit([]).cast("array<struct<off:long,piece:string>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        return F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("off"), p.alias("piece")))).alias("out"))
+    pieces = laid_out(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), F.length, lambda p, at: F.struct(at.alias("off"), p.alias("piece")), "array<struct<off:long,piece:string>>")
 
     def words(p: Column) -> Column:
         near = F.filter(base, lambda b: (b["start"] < p["off"] + F.length(p["piece"])) & (b["end"] > p["off"]))
@@ -154,7 +181,7 @@ def terms(text: Column, base: Column, gone: Column, general: Column) -> Column:
         out = F.transform(hits, lambda w: F.struct(w["kind"].alias("kind"), (p["off"] + w["start"]).alias("start"), (p["off"] + w["end"]).alias("end"), F.when(F.array_contains(gone, hashed(w["value"])), "remove").otherwise("generalise").alias("value")))
         return F.filter(out, lambda w: ~F.exists(near, lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
 
-    return F.flatten(F.transform(F.aggregate(pieces, start, step, lambda acc: acc["out"]), words)).cast(SPAN)
+    return F.flatten(F.transform(pieces, words)).cast(SPAN)
 
 
 def spans(docs: DataFrame, *, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -176,19 +203,23 @@ def report(docs: DataFrame, **thresholds: float) -> DataFrame:
 
 def sanitize(docs: DataFrame, **thresholds: float) -> DataFrame:
     """``docs`` with entities as [EMAIL] and the like, disclosing words generalised to [TERM] or removed."""
-    s = spans(docs, **thresholds).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.array_sort(F.transform(F.concat("base", "terms"), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus"), F.when(x["kind"] != "term", F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).when(x["value"] == "remove", "").otherwise("[TERM]").alias("by")))).alias("_spans")).dropDuplicates(["_id", "_tag"])
+    i, t, k, ours = (free(docs, c) for c in ("_id", "_tag", "_key", "_spans"))
+    by = lambda x: F.when(x["kind"] != "term", F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).when(x["value"] == "remove", "").otherwise("[TERM]")
+    ordered = F.array_sort(F.transform(F.concat("base", "terms"), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus"), by(x).alias("by"))))
+    s = spans(docs, **thresholds).filter("size(base) + size(terms) > 0").select(F.col("doc_id").alias(i), F.col("tag").alias(t), ordered.alias(ours)).dropDuplicates([i, t])
     text = F.col("text").cast("string")
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(text, F.lit(""))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    keyed = docs.withColumn(k, F.xxhash64(F.coalesce(text, F.lit(""))))
+    joined = keyed.join(s, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(k) == F.col(t)), "left")
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(F.lit(0), x["start"] - acc["at"]).cast("int"))
         skip = x["start"] < acc["at"]  # inside one that is replaced already
-        return F.struct(F.greatest(acc["at"], -x["minus"]).alias("at"), F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], gap, x["by"])).alias("out"))
+        return F.struct(F.greatest(acc["at"], -x["minus"]).alias("at"), F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, x["by"]))).alias("out"))
 
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    joined = keyed.join(s, keyed["doc_id"].eqNullSafe(s["_id"]) & (keyed["_key"] == s["_tag"]), "left")
-    return joined.select(*[F.when(text.isNull(), None).otherwise(done).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit([]).cast("array<string>").alias("out"))
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+    done = F.when(F.col(ours).isNull(), text).otherwise(F.aggregate(ours, start, step, rest))
+    return joined.select(*[done.alias("text") if c == "text" else quoted(c) for c in docs.columns])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,3 +109,39 @@ def crc(ids):
     import numpy as np
 
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def terms(docs, generalise=0.8, remove=0.95, prior=1.0):
+    """doc_id -> [(start, end, action)] of disclosing words, by plain counting over distinct texts."""
+    import math
+
+    import regex
+
+    word = regex.compile(r"[\p{L}\p{M}\p{N}]{2,}+|\p{Ideographic}")
+    texts = {t or "" for d, t in docs if d is not None}
+    bags = {t: {w[0].lower() for w in word.finditer(t)} for t in texts}
+    held = {t: {(k, t[a:z].lower()) for k, a, z in base_spans(t)} for t in texts}
+    n, n_t, n_c, n_ct = len(texts), {}, {}, {}
+    for t in texts:
+        for w in bags[t]:
+            n_t[w] = n_t.get(w, 0) + 1
+        for c in held[t]:
+            n_c[c] = n_c.get(c, 0) + 1
+            for w in bags[t]:
+                n_ct[c, w] = n_ct.get((c, w), 0) + 1
+
+    def disclosure(c, w, more=0.0):
+        ic = math.log(n / n_c[c])
+        return 1 + math.log((n_ct[c, w] + more * n_c[c] / n) / (n_t[w] + more)) / ic if ic > 0 else -1.0
+
+    out = {}
+    for d, t in docs:
+        t = t or ""
+        action = {}
+        for c in held.get(t, ()) if d is not None else ():
+            for w in bags[t]:
+                if disclosure(c, w) >= generalise:
+                    action[w] = "remove" if disclosure(c, w, prior) >= remove or action.get(w) == "remove" else "generalise"
+        base = base_spans(t)
+        out[d] = [(m.start(), m.end(), action[m[0].lower()]) for m in word.finditer(t) if m[0].lower() in action and not any(a < m.end() and z > m.start() for _, a, z in base)] if action else []
+    return out

@@ -334,6 +334,7 @@ def test_op6(spark, sample):
     ]
     odd += ["".join(rng.choices("ab@.1259+-() _", k=rng.randint(1, 60))) for _ in range(300)]
     odd += [f"call Zanzibarious Quillon at boss{rng.randint(0, 1)}@corp.org about number {k} of many things" for k in range(8)]
+    odd += [f"Vorvax number {k} lives beside 10.9.8.7" for k in range(16)]
     docs = [*sample, *[(10_000 + k, t) for k, t in enumerate([*EDGES, *odd])]]
     got = {r.doc_id: r for r in P.report(frame(spark, docs)).collect()}
     assert len(got) == len(docs)
@@ -343,6 +344,12 @@ def test_op6(spark, sample):
         r = got[d]
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, _, _ in want) for kind in brute.KINDS), (d, (t or "")[:80])
         assert r.base_sha256 == brute.sha(spelled) and (r.spans == spelled or r.spans.startswith(spelled + "," if spelled else "term:")), d
+    # the method's spans, against plain counting; the same rows twice change nothing
+    plain = brute.terms(docs)
+    assert any(plain.values()) and {"generalise", "remove"} == {x[2] for v in plain.values() for x in v}
+    for again in (docs, docs + docs):
+        found = {r.doc_id: [(x.start, x.end, x.value) for x in r.terms] for r in P.spans(frame(spark, again)).collect()}
+        assert found == plain
     terms = {t[int(a) : int(z)] for d, t in docs if t for k, a, z in (x.split(":") for x in got[d].spans.split(",") if x) if k == "term"}
     assert {"Zanzibarious", "Quillon"} <= terms
     clean = {r.doc_id: r.text for r in P.sanitize(frame(spark, docs)).collect()}
