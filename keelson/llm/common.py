@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextvars
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -112,12 +113,37 @@ def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return met.filter(there).select(*map(quoted, docs.columns)), met.filter(~there).select(*map(quoted, docs.columns))
 
 
+def filtered(docs: DataFrame, keep: Callable[[pa.Array], pa.Array], most: int) -> DataFrame:
+    """The rows whose texts ``keep`` keeps (texts of ``most`` bytes at once), all columns as they are, whatever their names."""
+    plain = docs.toDF(*["text" if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, most=most):
+                yield b.filter(keep(b.column("text")))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library: it keeps what it likes
+    _trim = None
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: a worker goes on to other operators, beside an executor that needs the room."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of at most ``most`` text bytes, or one row if that is longer."""
+    """The batch in pieces of at most ``most`` text bytes, or one row if that is longer; memory is tidied after the last."""
     if batch.num_rows == 0:
         return
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -125,6 +151,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
+    tidy()
 
 
 def white_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

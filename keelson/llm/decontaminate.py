@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import alnum_words, slices
+from keelson.llm.common import alnum_words, filtered, slices
 
 WINDOW = 8
 BLOCK_BYTES = 16 << 20
@@ -268,14 +268,7 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_items: int = 1) -> DataFrame:
     """The documents in which windows of fewer than ``min_items`` items occur, all their columns as they were."""
     blocks = test_blocks(benchmark, window)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, most=SHARD_BYTES):
-                items = digest(b.column("text"), each(blocks))[2]
-                yield b.filter(pa.array([len(i) < min_items for i in items]))
-
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, lambda texts: pa.array([len(i) < min_items for i in digest(texts, each(blocks))[2]], pa.bool_()), SHARD_BYTES)
 
 
 def _words_sql(text: str) -> str:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import Scratch, chain, hash_words, mix, slices, stored, white_words
+from keelson.llm.common import Scratch, chain, filtered, hash_words, mix, slices, stored, white_words
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -193,13 +193,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are predicted 1, all their columns as they were."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, most=SCORE_BYTES):
-                yield b.filter(pc.greater_equal(pa.array(text_scores(b.column("text"), *model.value)), 0.5))
-
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, lambda texts: pc.greater_equal(pa.array(text_scores(texts, *model.value)), 0.5), SCORE_BYTES)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
