@@ -203,6 +203,59 @@ def test_op10(spark, sample):
     assert N.cluster(frame(spark, [])).count() == 0
 
 
+def test_op2_scores_are_plain_means(spark):
+    """Features and score of each text, one word and one n-gram at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    from keelson.llm import common
+    from keelson.llm import quality as Q
+
+    table, bias = np.random.default_rng(2).normal(size=Q.BUCKETS), 0.25
+    texts = [None, "", "  ", "one", "one one one", "Ein größerer Text, mit mehr Wörtern.", "a b c d e f g a b c", "日本 語", "x" * 70]
+
+    def one(text):
+        words = [w.encode() for w in (text or "").split()]
+        h = [common.hash_words(pa.array([w.decode()]))[0] for w in words]
+        feats = []
+        for w, x in zip(words, h, strict=True):
+            feats.append(int(common.mix(np.array([x ^ np.uint64(1)]))[0] % np.uint64(Q.BUCKETS - 1)))
+            marked = [1, *w, 2]
+            for n in Q.NGRAMS:
+                for k in range(len(marked) - n + 1):
+                    gram = sum(b << (8 * (n - 1 - j)) for j, b in enumerate(marked[k : k + n]))
+                    feats.append(int(common.mix(np.array([gram + (n << 40)], np.uint64))[0] % np.uint64(Q.BUCKETS - 1)))
+        for x, y in zip(h, h[1:], strict=False):
+            feats.append(Q.BUCKETS - 1 if x == y else int(common.chain(np.array([x, y]), 2)[0] % np.uint64(Q.BUCKETS - 1)))
+        return feats, 1 / (1 + np.exp(-(np.mean(table[feats]) if feats else 0.0) - bias))
+
+    want = [one(t) for t in texts]
+    assert np.allclose(Q.text_scores(pa.array(texts, pa.string()), table, bias), [s for _, s in want], atol=1e-12)
+    for (b, share), (feats, _) in zip(Q.text_features(pa.array(texts, pa.string())), want, strict=True):
+        assert b.tolist() == sorted(set(feats)) and np.allclose(share, [feats.count(x) / len(feats) for x in b.tolist()])
+    # a step of descent against numerical gradients: the loss falls, and the bias moves towards the labels
+    a, b_ = Q.text_features(pa.array(["good text here", "bad words there"], pa.string()))
+    model, offset = Q.train([(*a, 1), (*b_, 0)], epochs=200)
+    score = lambda t: Q.text_scores(pa.array([t]), model, offset)[0]
+    assert score("good text here") > 0.8 and score("bad words there") < 0.2
+
+
+def test_op2_sample_is_bounded(spark):
+    """Documents beyond the bounds are not learned from; repeated rows count once."""
+    import numpy as np
+
+    from keelson.llm import quality as Q
+
+    docs = frame(spark, [(k, f"{'good' if k % 2 else 'poor'} text {k} " * (1 + k % 3)) for k in range(60)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    whole = Q.fit(docs, labels)
+    assert np.array_equal(whole[0], Q.fit(docs.union(docs), labels.union(labels))[0])
+    for bounds in ({"most": 5}, {"most_bytes": 200}):
+        few = Q.fit(docs, labels, **bounds)
+        assert not np.array_equal(few[0], whole[0]) and np.array_equal(few[0], Q.fit(docs.union(docs), labels, **bounds)[0])
+    assert not Q.fit(docs, labels, most_bytes=1)[0].any()
+
+
 def test_op2(spark):
     from keelson.llm import quality as Q
 
@@ -408,6 +461,21 @@ def test_op1(spark):
         assert set(found) == set(want)
         for q in want:
             assert [i for _, i in sorted(found[q])] == [i for _, i in want[q]]
+    # lengths apart; clusters far from the origin; numbers whose squares leave the range of doubles, both ways
+    rng = np.random.default_rng(4)
+    for scale, shift in ((1.0, 1e6), (1e160, 0.0), (1e-170, 0.0), (1e-3, 1e9)):
+        far = [(k, [float(c) for c in shift + scale * rng.normal(size=6)]) for k in range(200)] + [(500 + k, [float(c) for c in rng.normal(size=4)]) for k in range(30)]
+        df_ = spark.createDataFrame(far, "vec_id long, embedding array<double>")
+        found = {}
+        for r in A.search(df_, df_.filter("vec_id % 10 = 0"), probes=100).collect():
+            found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        assert len(found) == 23
+        for q, v in far:
+            if q % 10 == 0:
+                own = np.array(v)
+                d = sorted((float(A.distances(np.array([x]), own)[0]), i) for i, x in far if i != q and len(x) == len(v))[:10]
+                assert [(i, s) for _, i, s in sorted(found[q])] == [(i, s) for s, i in d], (scale, shift)
+                assert all(0 < s < float("inf") for s, _ in d)
     before, A.CHUNK = A.CHUNK, 7  # chunks change nothing
     again = {(r.query_id, r.rank, r.vec_id) for r in A.search(df, df.filter("vec_id % 50 = 0"), probes=100).collect()}
     A.CHUNK = before
