@@ -21,7 +21,7 @@ from keelson.llm.common import hash_spans
 
 _ENCODERS: dict[str, Encoder] = {}
 #: Cached pieces; the cache is emptied when it is full, so a worker's memory is bounded (about 60 bytes each).
-CACHE = 1_500_000
+CACHE = 1_000_000
 #: Longer pieces are encoded but not kept.
 LONGEST = 64
 
