@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import stored
+from keelson.llm.common import batched, stored
 
 K = 10
 TABLES, PROBES = 8, 10
@@ -212,10 +212,10 @@ def _search(rows: DataFrame, asked: DataFrame, k: int, tables: int, probes: int,
                     take = pa.array(np.repeat(np.arange(len(u)), p.shape[1]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(p.size, t, np.int32)), pa.array(p.reshape(-1)), b.column("vec_id").take(take), b.column("v").take(take)], ["t", "b", "query_id", "q"])
 
-    indexed = rows.mapInArrow(index, "t int, b long, vec_id long, v array<double>")
+    indexed = rows.transform(batched).mapInArrow(index, "t int, b long, vec_id long, v array<double>")
     sizes = stored(indexed.groupBy("t", "b").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")), "ann-sizes")
     dealt = indexed.join(sizes, ["t", "b"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks"))).drop("chunks")
-    probed = asked.mapInArrow(probe, "t int, b long, query_id long, q array<double>").join(sizes, ["t", "b"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
+    probed = asked.transform(batched).mapInArrow(probe, "t int, b long, query_id long, q array<double>").join(sizes, ["t", "b"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -277,7 +277,7 @@ def _exact(rows: DataFrame, few: DataFrame, k: int) -> DataFrame | None:
                     i, ids, s = nearest(q, qid, matrix(part.column("v")), part.column("vec_id").to_numpy(), k)
                     yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids), pa.array(s)], ["query_id", "vec_id", "score"])
 
-        found = rows.mapInArrow(run, "query_id long, vec_id long, score double")
+        found = rows.transform(batched).mapInArrow(run, "query_id long, vec_id long, score double")
         out = found if out is None else out.unionByName(found)
     return out
 

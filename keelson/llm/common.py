@@ -113,6 +113,19 @@ def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return met.filter(there).select(*map(quoted, docs.columns)), met.filter(~there).select(*map(quoted, docs.columns))
 
 
+#: Bytes of an Arrow batch between the JVM and a worker at most, or one row if that has more: 10,000 rows, Spark's own bound, may be any size.
+BATCH_BYTES = 4 << 20
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """Bounds the session's Arrow batches by bytes, unless they are bounded lower; ``df`` itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    most = int(df.sparkSession.conf.get(key).rstrip("bB"))
+    if not 0 < most <= BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def filtered(docs: DataFrame, keep: Callable[[pa.Array], pa.Array], most: int) -> DataFrame:
     """The rows whose texts ``keep`` keeps (texts of ``most`` bytes at once), all columns as they are, whatever their names."""
     plain = docs.toDF(*["text" if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)])
@@ -122,7 +135,7 @@ def filtered(docs: DataFrame, keep: Callable[[pa.Array], pa.Array], most: int) -
             for b in slices(batch, most=most):
                 yield b.filter(keep(b.column("text")))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.transform(batched).mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def quoted(name: str) -> Column:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import alnum_words, filtered, slices
+from keelson.llm.common import alnum_words, batched, filtered, slices
 
 WINDOW = 8
 BLOCK_BYTES = 16 << 20
@@ -259,7 +259,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_ite
                 cols = [b.column("doc_id"), pa.array(counts), pa.array(hit), pa.array(n), pa.array(sums, pa.string()), pa.array(n >= min_items), *[pa.array([r[k] for r in runs], pa.int64()) for k in range(3)]]
                 yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in DIGEST.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, DIGEST)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(batched).mapInArrow(run, DIGEST)
 
 
 EMPTY = hashlib.sha256(b"").hexdigest()

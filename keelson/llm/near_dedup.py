@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import LOWER, Scratch, chain, free, hash_words, mix, parted, slices, stored, white_words
+from keelson.llm.common import LOWER, Scratch, batched, chain, free, hash_words, mix, parted, slices, stored, white_words
 from keelson.llm.graph import components
 
 SHINGLE = 2
@@ -138,7 +138,7 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
                 size = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts), size, pa.array(sums[:, 0]), pa.array(sums[:, 1]), bands, sketch], ["doc_id", "n_shingles", "bytes", "set_a", "set_b", "bands", "sketch"])
 
-    return docs.mapInArrow(run, SIGNATURE)
+    return docs.transform(batched).mapInArrow(run, SIGNATURE)
 
 
 def _words(text: str | None) -> list[bytes]:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import slices, stored
+from keelson.llm.common import batched, slices, stored
 from keelson.llm.tokens import Encoder, crc, tokenizer_path
 
 GROUP_ITEMS = 6_000
@@ -80,7 +80,7 @@ def pieces(docs: DataFrame, *, capacity: int, tokenizer: str, end_id: int | None
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, rid = Encoder.of(tokenizer), TaskContext.get().partitionId() << 36
         for batch in batches:
-            for b in slices(batch, most=4 << 20):
+            for b in slices(batch, most=2 << 20):
                 ids, counts = encoder.encode(b.column("text"))
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, *, capacity: int, tokenizer: str, end_id: int | None
                     at += n
                 yield pa.RecordBatch.from_arrays([pa.array(o, pa.int32() if k == 2 else pa.int64()) for k, o in enumerate(out)], ["rid", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return rows.mapInArrow(cut, PIECES)
+    return rows.transform(batched).mapInArrow(cut, PIECES)
 
 
 def _packed(items: DataFrame, groups: int, salt: int, capacity: int, base: int) -> DataFrame:

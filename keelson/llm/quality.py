@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import Scratch, chain, filtered, hash_words, mix, slices, stored, white_words
+from keelson.llm.common import Scratch, batched, chain, filtered, hash_words, mix, slices, stored, white_words
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = TRAIN_DOCS, most_byte
             table, bias = train([s[1:] for s in samples]) if samples else (np.zeros(BUCKETS), 0.0)
             yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([bias])], ["model", "bias"])
 
-        model = own.select("_id", "_label", "text").mapInArrow(learn, "model binary, bias double").collect()[0]
+        model = own.select("_id", "_label", "text").transform(batched).mapInArrow(learn, "model binary, bias double").collect()[0]
         run.release(spark)
     return np.frombuffer(model.model, np.float64), float(model.bias)
 
@@ -186,7 +186,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for b in slices(batch, most=SCORE_BYTES):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text_scores(b.column("text"), *model.value))], ["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(batched).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 

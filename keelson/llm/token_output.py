@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import fresh_path, slices
+from keelson.llm.common import batched, fresh_path, slices
 from keelson.llm.tokens import Encoder, crc, tokenizer_path
 
 MAGIC = b"KRA1"
@@ -165,7 +165,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, en
             return row
 
         for batch in batches:
-            for b in slices(batch, most=4 << 20):
+            for b in slices(batch, most=2 << 20):
                 ids, counts = encoder.encode(b.column("text"))
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
@@ -179,7 +179,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, en
         if doc_ids:
             yield flush()
 
-    rows.mapInArrow(encode, SCHEMA).write.option("compression", "none").parquet(path)
+    rows.transform(batched).mapInArrow(encode, SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -213,7 +213,7 @@ def _decoded(spark: SparkSession, path: str, *, ids: bool) -> DataFrame:
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(parts, pa.binary())] * ids, names + ["ids"] * ids)
 
-    return rows.select("part", "base", "doc_ids", "lengths", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
+    return rows.select("part", "base", "doc_ids", "lengths", "data").transform(batched).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

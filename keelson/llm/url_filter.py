@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelson.llm.common import batched
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # The vocabulary.
 STRICT = ("casino", "cheap-pills", "escort", "hentai", "malware", "phishing", "porn", "porno", "spam-farm", "torrent", "viagra", "warez", "xxx")
@@ -76,7 +78,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], *, strict: Sequence[str] = ST
             n = [hits(a, u) for u in b.column("url").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in n], pa.int64()), pa.array([y for _, y in n], pa.int64())], [*b.schema.names, "n_strict", "n_soft"])
 
-    counted = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(count, "page_id long, url string, n_strict long, n_soft long")
+    counted = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).transform(batched).mapInArrow(count, "page_id long, url string, n_strict long, n_soft long")
     part = lambda p: F.coalesce(F.regexp_extract("url", p, 1), F.lit(""))
     host, path = F.col("host"), F.col("path")
     rule = verdict = None
