@@ -1,19 +1,23 @@
-"""Operator 8: substring dedup by grouping of window hashes, partitioned by prefix.
+"""Operator 8: substring dedup by prefix-partitioned suffix trees.
 
-It stands in for prefix-partitioned suffix trees, and is none: a tree's nodes of depth WINDOW are all that is used of it. Every word starts
-a suffix. Suffixes go to groups by a prefix of variable length: the slots of the first word's hash are counted
-over all documents, slots of few suffixes share a group, and slots beyond GROUP suffixes are split by longer prefixes (2, 4 or 8
-words, as much as their count asks for), so that each group fits a worker's memory. A group sorts the 64-bit hashes of whole
-windows of WINDOW words; equal hashes are taken for equal words, which nothing confirms. Suffixes are not in order of
-their words, and there are no common-prefix lengths. A window in several documents is a repeat: all its
-places but those of the smallest doc_id are marked. Overlapping marks join to the maximal repeats, which are cut out.
+A suffix tree of all words of a corpus would ship each suffix's next WINDOW words, thirteen times the text. These trees are sparse: of
+the GRAM-word grams in a window the one of least hash is its anchor, and the suffixes of all windows that have one anchor go together,
+as the WINDOW words around it and a few more, to the group of the anchor's words, the prefix that equal windows share. The
+anchors of each slot of prefixes are counted over all documents; slots of few share a group, and the windows of a slot beyond GROUP
+go apart, by a prefix of all their WINDOW words. So each group fits a worker's memory.
+
+A group sorts its suffixes by their words, as codes of the group's own dictionary, and neighbours in that order with a common prefix
+of WINDOW words or more are the leaves below a deep inner node. Words are compared, not hashes: a hash only says where a suffix goes.
+A node with several documents is a repeat: all its places but those of the smallest doc_id are marked. Overlapping marks join to the
+maximal repeats, which are cut out.
 
 Before the shuffle each slice of documents reduces a node to the leaves of its smallest document: the others are marked on the
-spot, so a passage that a third of all documents share reaches its group once for each slice. What moves is about ten bytes a
-word, packed in blobs; documents move once, to meet their marks, in buckets of bounded size.
+spot, so a passage that a third of all documents share reaches its group once for each slice. What moves is compressed text, about ten
+bytes a word; documents move to meet their marks only if a bounded filter can't rule out that they have some, in buckets of bounded size.
 
 Defined cases: null text has no words; a null doc_id neither marks nor is marked; rows with the same doc_id don't mark each other
-and are judged apart; fewer than WINDOW words: nothing is removed; an empty table gives no rows; other columns are ignored.
+and are judged apart; fewer than WINDOW words: nothing is removed; a very long text is a slice of its own; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,88 +33,137 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import chain, hash_words, mix, slices, white_words, window_starts
+from keelson.llm.common import batched, chain, hash_words, mix, parted, slices, stored, tidy, white_words, window_starts
 
-WINDOW = 13
-GROUP = 2_000_000
+WINDOW, GRAM = 13, 4
+#: Anchors of a group, about: their suffixes are some 20 MB of text.
+GROUP = 150_000
 SLOTS = 1024
-#: Text bytes of a final bucket, about.
-BUCKET_BYTES = 4 << 20
+#: Text bytes of a slice, and of a final bucket, about.
+SLICE, BUCKET_BYTES = 6 << 20, 4 << 20
 BLOBS = "grp long, bucket long, data binary"
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def first_slot(h: np.ndarray) -> np.ndarray:
-    return (mix(h) >> np.uint64(64 - 10)).astype(np.int64)
+def anchored(h: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of each window, its anchor's first word, the anchor's hash): the least gram in it, the first of equal ones."""
+    start = np.flatnonzero(window_starts(counts, window))
+    gram = min(GRAM, window)
+    if not len(start):
+        return start, start, np.zeros(0, np.uint64)
+    g = mix(chain(h, gram))
+    at, least = start.copy(), g[start]
+    for k in range(1, window - gram + 1):
+        other = g[start + k]
+        less = other < least
+        at[less], least[less] = start[less] + k, other[less]
+    return start, at, least
+
+
+def slot_of(anchor: np.ndarray) -> np.ndarray:
+    return (mix(anchor) >> np.uint64(64 - 10)).astype(np.int64)
 
 
 def count_slots(docs: DataFrame, window: int) -> tuple[np.ndarray, int]:
-    """Suffixes of each slot of first words, and all text bytes: one row for each slot and task reaches the driver's sum."""
+    """Anchors of each slot, and all text bytes: one row for each slot and task reaches the driver's sum."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, size = np.zeros(SLOTS, np.int64), 0
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, most=SLICE):
                 flat, counts = white_words(b.column("text"))
-                h = hash_words(flat)
-                ok = window_starts(counts, window)
-                total += np.bincount(first_slot(h[: len(ok)][ok]), minlength=SLOTS)
+                _, at, least = anchored(hash_words(flat), counts, window)
+                new = np.ones(len(at), bool)
+                new[1:] = at[1:] != at[:-1]
+                total += np.bincount(slot_of(least[new]), minlength=SLOTS)
                 size += b.column("text").nbytes
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLOTS + 1)), pa.array(np.append(total, size))], ["slot", "n"])
 
-    rows = docs.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    rows = docs.transform(batched).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(SLOTS + 1, np.int64)
     for r in rows:
         out[r.slot] = r.n
     return out[:-1], int(out[-1])
 
 
-def plan(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """For each slot: its first group, how many groups, and the length of the prefix that deals suffixes to them; and all groups."""
-    first, groups, prefix = np.zeros(SLOTS, np.int64), np.ones(SLOTS, np.int64), np.ones(SLOTS, np.int64)
+def plan(counts: np.ndarray, most: int, spread: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each slot its first group, and among how many its windows are dealt (1: its anchors stay together); and all groups.
+
+    ``spread`` is how many windows an anchor may have.
+    """
+    first, groups = np.zeros(SLOTS, np.int64), np.ones(SLOTS, np.int64)
     at, held = 0, 0
     for s, n in enumerate(counts.tolist()):
         if n > most:
             if held:
                 at, held = at + 1, 0
-            k = -(-n // most)
-            first[s], groups[s], prefix[s] = at, k, 2 if k <= 32 else 4 if k <= 1024 else 8
-            at += k
+            first[s], groups[s] = at, max(2, -(-n * spread // most))
+            at += int(groups[s])
         else:
             if held + n > most:
                 at, held = at + 1, 0
             first[s] = at
             held += n
-    return first, groups, prefix, at + 1
+    return first, groups, at + 1
 
 
-def pack(docs: np.ndarray, places: np.ndarray, marks: np.ndarray | None = None) -> bytes:
-    """Sorted by document, stored as differences: neighbours are close, so little is left after compression."""
-    meta = np.concatenate([np.diff(docs, prepend=0), np.diff(places, prepend=0)]).astype("<i8")
-    planes = np.ascontiguousarray(meta.view(np.uint8).reshape(-1, 8).T).tobytes()
-    small = zstandard.ZstdCompressor(level=1).compress(planes)
-    return len(docs).to_bytes(8, "little") + (b"" if marks is None else marks.astype("<u8").tobytes()) + small
+def planes(numbers: np.ndarray) -> bytes:
+    """Sorted numbers as differences, byte by byte: neighbours are close, so little is left after compression."""
+    return np.ascontiguousarray(np.diff(numbers, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def unpack(data: bytes, marked: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+def whole(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8")[:, 0])
+
+
+def pack(docs: np.ndarray, places: np.ndarray, sizes: np.ndarray | None = None, text: bytes = b"") -> bytes:
+    """Documents and places (of marks, or of the first windows of runs of ``sizes`` windows, whose words are ``text``)."""
+    press = zstandard.ZstdCompressor(level=3)
+    head = press.compress(planes(docs) + planes(places) + (b"" if sizes is None else sizes.astype(np.uint8).tobytes()))
+    return len(head).to_bytes(8, "little") + head + (press.compress(text) if text else b"")
+
+
+def unpack(data: bytes, runs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, bytes]:
     n = int.from_bytes(data[:8], "little")
-    at = 8 + (8 * n if marked else 0)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at:]), np.uint8).reshape(8, -1)
-    meta = np.ascontiguousarray(planes.T).view("<i8")[:, 0]
-    return np.cumsum(meta[:n]), np.cumsum(meta[n:]), np.frombuffer(data, "<u8", n, 8) if marked else None
+    head = zstandard.ZstdDecompressor().decompress(data[8 : 8 + n])
+    k = len(head) // (17 if runs else 16)
+    rest = zstandard.ZstdDecompressor().decompress(data[8 + n :]) if len(data) > 8 + n else b""
+    return whole(head[: 8 * k]), whole(head[8 * k : 16 * k]), np.frombuffer(head, np.uint8, k, 16 * k).astype(np.int64) if runs else None, rest
 
 
 def bucket_of(docs: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(docs.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def nodes(paths: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes in order of their paths, where each node begins, and the smallest document below each node."""
-    order = np.argsort(paths, kind="stable")
-    sorted_ = paths[order]
-    begin = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(order) else np.zeros(0, np.int64)
-    least = np.minimum.reduceat(docs[order], begin) if len(order) else docs
-    return order, begin, least
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each span, one after the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+
+
+def keys_of(code: np.ndarray, start: np.ndarray, window: int, size: int) -> list[np.ndarray]:
+    """The word codes of each window packed to 64-bit keys, first word highest: keys in order compare as the words' codes do."""
+    bits = max(1, size.bit_length())
+    per = 64 // bits
+    out = []
+    for a in range(0, window, per):
+        key = np.zeros(len(start), np.uint64)
+        for k in range(a, min(window, a + per)):
+            key = (key << np.uint64(bits)) | code[start + k].astype(np.uint64)
+        out.append(key)
+    return out
+
+
+def later_leaves(keys: list[np.ndarray], docs: np.ndarray) -> np.ndarray:
+    """Suffixes in order of their words; of those below one node of the window's depth, the ones that aren't of its smallest document."""
+    order = np.lexsort(keys[::-1])
+    deep = np.ones(max(0, len(order) - 1), bool)  # a common prefix of the whole window with the neighbour before
+    for key in keys:
+        s = key[order]
+        deep &= s[1:] == s[:-1]
+    begin = np.flatnonzero(np.concatenate([[True], ~deep]))
+    own = docs[order]
+    least = np.minimum.reduceat(own, begin)
+    return order[own > np.repeat(least, np.diff(begin, append=len(order)))]
 
 
 def mark_blobs(docs: np.ndarray, places: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -123,60 +176,92 @@ def mark_blobs(docs: np.ndarray, places: np.ndarray, buckets: int) -> Iterator[t
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, group: int | None = None) -> tuple[DataFrame, int]:
-    """Marks as blobs of (document, place) for each bucket, and how many buckets there are.
+    """Marks as blobs of (document, place) for each bucket, stored, and how many buckets there are.
 
     ``docs`` has doc_id, text and tag (a hash of the text, to tell rows of one doc_id apart); a place is tag << 32 | word.
     """
     counts, size = count_slots(docs.select("text"), window)
-    first, groups, prefix, n_groups = plan(counts, group or GROUP)
+    first, groups, n_groups = plan(counts, group or GROUP, window - min(GRAM, window) + 1)
     buckets = max(1, -(-size // BUCKET_BYTES))
-    depths = sorted({int(p) for p in prefix if p > 1})
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column("doc_id")))
-            for b in slices(batch, most=8 << 20):
+            for b in slices(batch, most=SLICE):
                 b = b.take(pc.sort_indices(b, sort_keys=[("doc_id", "ascending"), ("tag", "ascending")]))
                 flat, n = white_words(b.column("text"))
                 h = hash_words(flat)
-                ok = np.flatnonzero(window_starts(n, window))
-                if not len(ok):
+                start, at, least = anchored(h, n, window)
+                if not len(start):
                     continue
-                row = np.repeat(np.arange(len(n)), n)[ok]
+                row = np.repeat(np.arange(len(n)), n)[start]
                 doc = b.column("doc_id").to_numpy()[row]
-                place = (b.column("tag").to_numpy()[row] << 32) + (ok - (np.cumsum(n) - n)[row])
-                path = chain(h, window)[ok]
-                slot = first_slot(h[ok])
-                grp = first[slot]
-                for p in depths:
-                    far = prefix[slot] == p
-                    grp[far] += (mix(chain(h, p)[ok[far]]) % groups[slot[far]].astype(np.uint64)).astype(np.int64)
-                order, begin, least = nodes(path, doc)
-                low = np.empty(len(doc), doc.dtype)
-                low[order] = np.repeat(least, np.diff(begin, append=len(order)))
-                gone = doc > low
-                out: list[tuple[int, int, bytes]] = [(k % n_groups, k, d) for k, d in mark_blobs(doc[gone], place[gone], buckets)] if gone.any() else []
-                keep = np.flatnonzero(~gone)
-                keep = keep[np.argsort(grp[keep], kind="stable")]
-                g = grp[keep]
-                cuts = np.flatnonzero(np.diff(g, prepend=-1)).tolist() + [len(g)]
-                for x, y in zip(cuts, cuts[1:], strict=False):
-                    part = keep[x:y]
-                    out.append((int(g[x]), -1, pack(doc[part], place[part], path[part])))
+                place = (b.column("tag").to_numpy()[row] << 32) + (start - (np.cumsum(n) - n)[row])
+                path = chain(h, window)[start]
+                # windows of equal hash: those whose words are the first one's, in a later document
+                order = np.argsort(path, kind="stable")
+                begin = np.flatnonzero(np.concatenate([[True], path[order][1:] != path[order][:-1]]))
+                head = np.empty(len(order), np.int64)
+                head[order] = np.repeat(order[begin], np.diff(begin, append=len(order)))
+                late = np.flatnonzero(doc > doc[head])
+                code = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                same = np.ones(len(late), bool)
+                for k in range(window):
+                    same &= code[start[late] + k] == code[start[head[late]] + k]
+                late = late[same]
+                out: list[tuple[int, int, bytes]] = [(k % n_groups, k, d) for k, d in mark_blobs(doc[late], place[late], buckets)] if len(late) else []
+                keep = np.ones(len(start), bool)
+                keep[late] = False
+                slot = slot_of(least)
+                alone = groups[slot] > 1
+                opens = np.ones(len(start), bool)  # runs of windows with one anchor
+                opens[1:] = ~keep[:-1] | (start[1:] != start[:-1] + 1) | (at[1:] != at[:-1]) | alone[1:]
+                run = np.flatnonzero(opens & keep)
+                run_of = np.cumsum(opens & keep)[keep] - 1
+                m = np.bincount(run_of, minlength=len(run))
+                grp = first[slot[run]] + np.where(alone[run], (mix(path[run]) % groups[slot[run]].astype(np.uint64)).astype(np.int64), 0)
+                by = np.argsort(grp, kind="stable")
+                run, m, grp = run[by], m[by], grp[by]
+                words = flat.take(pa.array(spans(start[run], m + window - 1)))
+                cuts = np.append(np.flatnonzero(np.diff(grp, prepend=-1)), len(grp))
+                ends = np.concatenate([[0], np.cumsum(m + window - 1)])[cuts]
+                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words), " ")
+                for k, (x, y) in enumerate(zip(cuts.tolist(), cuts.tolist()[1:], strict=False)):
+                    out.append((int(grp[x]), -1, pack(doc[run[x:y]], place[run[x:y]], m[x:y], texts[k].as_buffer().to_pybytes())))
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], ["grp", "bucket", "data"])
 
     def subtree(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [(int(b), d) for b, d in zip(pdf["bucket"], pdf["data"], strict=True) if b >= 0]
         parts = [unpack(d, True) for b, d in zip(pdf["bucket"], pdf["data"], strict=True) if b < 0]
         if len(parts) > 1:
-            doc, place, path = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order, begin, least = nodes(path, doc)
-            gone = order[doc[order] > np.repeat(least, np.diff(begin, append=len(order)))]
-            out += mark_blobs(doc[gone], place[gone], buckets) if len(gone) else []
+            doc, place, m = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            flat, _ = white_words(pa.array([p[3] for p in parts], pa.binary()).cast(pa.string()))
+            coded = flat.dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            del parts, flat
+            size = m + window - 1
+            start = spans(np.cumsum(size) - size, m)
+            doc = np.repeat(doc, m)
+            gone = later_leaves(keys_of(code, start, window, len(coded.dictionary)), doc)
+            if len(gone):
+                out += mark_blobs(doc[gone], spans(place, m)[gone], buckets)
+        tidy()
         return pd.DataFrame({"bucket": [o[0] for o in out], "data": [o[1] for o in out]}).astype({"bucket": "int64"})
 
-    found = docs.mapInArrow(suffixes, BLOBS).groupBy("grp").applyInPandas(subtree, "bucket long, data binary")
-    return found, buckets
+    found = docs.transform(batched).mapInArrow(suffixes, BLOBS).groupBy("grp").applyInPandas(subtree, "bucket long, data binary")
+    return stored(found, "substring-marks"), buckets
+
+
+def marked(marks: DataFrame) -> DataFrame:
+    """The documents that marks name."""
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.unique(unpack(d, False)[0]) for d in b.column("data").to_pylist()]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(own)))], ["doc_id"])
+
+    return marks.select("data").transform(batched).mapInArrow(ids, "doc_id long")
 
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, group: int | None = None, texts: bool = False) -> DataFrame:
@@ -184,6 +269,14 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, group: int | None =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("tag", F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND(F.lit(0x7FFFFFFF)))
     marks, buckets = repeats(rows, window, group)
+    maybe, rest = parted(rows, marked(marks))
+
+    def judged(d: int | None, words: list[bytes], n: int) -> tuple:
+        kept = b" ".join(words)
+        return (d, n, n - len(words), hashlib.sha256(kept).hexdigest()) + ((kept.decode(),) if texts else ())
+
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * texts
+    schema = OUT + ", kept string" * texts
 
     def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(d, False) for d in right["data"]]
@@ -204,19 +297,28 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, group: int | None =
                     np.add.at(edge, own, 1)
                     np.add.at(edge, own + window, -1)
                     words = [w for w, c in zip(words, (np.cumsum(edge[:n]) > 0).tolist(), strict=True) if not c]
-            kept = b" ".join(words)
-            out.append((d, n, n - len(words), hashlib.sha256(kept).hexdigest()) + ((kept.decode(),) if texts else ()))
-        pdf = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * texts)
+            out.append(judged(d, words, n))
+        tidy()
+        pdf = pd.DataFrame(out, columns=names)
         return pdf.assign(doc_id=pdf["doc_id"].astype("Int64"))
 
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch):
+                split = ((d, (t or "").encode().split()) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True))
+                out = [judged(d, w, len(w)) for d, w in split]
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 3 else pa.string()) for k, c in enumerate(cols)], names)
+
     # the same bucket as the marks': splitmix64 is not a Spark function, so the bucket is computed with the rows in Arrow
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = pc.fill_null(b.column("doc_id"), 0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bucket_of(ids, buckets))], [*b.schema.names, "bucket"])
 
-    dealt = rows.mapInArrow(deal, "doc_id long, text string, tag long, bucket long")
-    return dealt.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInPandas(cut, OUT + ", kept string" * texts)
+    dealt = maybe.transform(batched).mapInArrow(deal, "doc_id long, text string, tag long, bucket long")
+    done = dealt.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInPandas(cut, schema)
+    return done.unionAll(rest.select("doc_id", "text").transform(batched).mapInArrow(untouched, schema))
 
 
 ORACLE_SQL = f"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
