@@ -194,11 +194,11 @@ def spans(docs: DataFrame, *, generalise: float = GENERALISE, remove: float = RE
 
 
 def report(docs: DataFrame, **thresholds: float) -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms."""
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone, n_base (all four), base_sha256, spans, n_terms."""
     s = spans(docs, **thresholds)
     of = lambda k: F.filter("base", lambda b: b["kind"] == k)
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in PATTERNS]
-    return s.select("doc_id", *counts, F.sha2(spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"), spelled(F.concat("base", "terms")).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
+    return s.select("doc_id", *counts, F.size("base").cast("long").alias("n_base"), F.sha2(spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"), spelled(F.concat("base", "terms")).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
 
 
 def sanitize(docs: DataFrame, **thresholds: float) -> DataFrame:
