@@ -44,7 +44,7 @@ DEVIATIONS = 5.5
 #: Documents outside a bucket's largest component, and members, that are compared at once; rows of a group of such buckets, about.
 STRAYS, MEMBERS, ROWS_OF_GROUP = 512, 4096, 20_000
 #: Documents, and bytes of their texts, in a block of a cluster at most, about.
-BLOCK, BLOCK_BYTES = 512, 2 << 20
+BLOCK, BLOCK_BYTES = 256, 1 << 20
 #: Rounds of choosing go on while so many of those who chose, one in so many, found a link.
 WORTH = 8
 #: Text bytes of a document's partners in one group, and of a group.
