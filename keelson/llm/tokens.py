@@ -4,8 +4,8 @@ Byte-level pre-tokenisation never joins a non-space to a following space, nor an
 text with single spaces may be cut there and the pieces encoded apart: the ids are the same. Texts where that might not hold
 (two spaces in a row, white space before a final space, or the string of an added token such as <|endoftext|>, which the library
 gives its own id) are encoded whole. Pieces repeat by Zipf's law, so most are in the
-cache; it is a sorted array of 64-bit hashes, looked up for a whole slice of texts at once, and a hit must also agree in length
-and in its first and last eight bytes.
+cache: a hash table of two ways in arrays, looked up for a whole slice of texts at once. A hit must agree in a 64-bit hash of the piece and
+in another of its length and its first and last eight bytes.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-from keelson.llm.common import hash_spans
+from keelson.llm.common import hash_spans, mix
 
 _ENCODERS: dict[str, Encoder] = {}
-#: Cached pieces; the cache is emptied when it is full, so a worker's memory is bounded (about 60 bytes each).
-CACHE = 1_000_000
+#: Buckets of two cached pieces each, of 21 bytes; and ids of pieces, at which the cache is emptied: so a worker's memory is bounded.
+BUCKETS, IDS = 1 << 20, 8 << 20
 #: Longer pieces are encoded but not kept.
 LONGEST = 64
 
@@ -47,10 +47,9 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.first, self.last = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.size, self.at, self.n = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.ids = np.zeros(0, np.uint32)
+        self.keys, self.checks = np.zeros(2 * BUCKETS, np.uint64), np.zeros(2 * BUCKETS, np.uint64)
+        self.at, self.n = np.zeros(2 * BUCKETS, np.int32), np.zeros(2 * BUCKETS, np.uint8)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -96,51 +95,56 @@ class Encoder:
         start = np.flatnonzero(cut)
         size = np.diff(start, append=len(buf))
         keys, first, last = hash_spans(buf, start, size)
-        at, n = self._lookup(keys, first, last, size)
+        with np.errstate(over="ignore"):
+            checks = mix(first ^ mix(last + (size.astype(np.uint64) << np.uint64(56))))
+        at, n = self._lookup(keys, checks)
         missing = np.flatnonzero(at < 0)
-        extra = np.zeros(0, np.uint32)
         if len(missing):
-            keys_m, where, back = np.unique(np.stack([keys[missing], first[missing], last[missing]], 1), axis=0, return_index=True, return_inverse=True)
-            one = missing[where]
+            order = np.lexsort((checks[missing], keys[missing]))
+            k, c = keys[missing][order], checks[missing][order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+            one, back = missing[order[new]], np.empty(len(missing), np.int64)
+            back[order] = np.cumsum(new) - 1
             data = buf.tobytes()
             extra, extra_n = self._encoded([data[a : a + z].decode() for a, z in zip(start[one].tolist(), size[one].tolist(), strict=True)])
-            extra_at = np.cumsum(extra_n) - extra_n
-            back = back.reshape(-1)
-            at[missing], n[missing] = len(self.ids) + extra_at[back], extra_n[back]
-        flat = np.concatenate([self.ids, extra])
+            extra_at = self._held(extra) + np.cumsum(extra_n) - extra_n
+            at[missing], n[missing] = extra_at[back], extra_n[back]
+            short = size[one] <= LONGEST
+            self._keep(keys[one][short], checks[one][short], extra_at[short], extra_n[short])
         total = np.cumsum(n)
-        step = np.arange(total[-1]) + np.repeat(at - (total - n), n)
-        ids = flat[step]
+        ids = self.ids[np.arange(total[-1]) + np.repeat(at - (total - n), n)]
+        if self.used > IDS:
+            self._clear()
         doc_piece = np.searchsorted(start, starts_of)  # pieces before each text
         per = np.diff(np.append(doc_piece, len(start)))
         before = np.concatenate([[0], total])
         counts = before[doc_piece + per] - before[doc_piece]
-        if len(missing):
-            self._keep(keys[one], first[one], last[one], size[one], extra, extra_at, extra_n)
         return ids, counts.astype(np.int64)
 
-    def _lookup(self, keys, first, last, size):
+    def _held(self, ids: np.ndarray) -> int:
+        """Puts ids behind those that are there, and says where."""
+        at, need = self.used, self.used + len(ids)
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids[:at], np.zeros(max(need, 2 * len(self.ids)) - at, np.uint32)])
+        self.ids[at:need] = ids
+        self.used = need
+        return at
+
+    def _lookup(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, n = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        if len(self.keys):
-            k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = (self.keys[k] == keys) & (self.first[k] == first) & (self.last[k] == last) & (self.size[k] == size)
-            at[hit], n[hit] = self.at[k[hit]], self.n[k[hit]]
+        slot = ((keys & np.uint64(BUCKETS - 1)) << np.uint64(1)).astype(np.int64)
+        for way in (0, 1):
+            own = slot + way
+            hit = np.flatnonzero((self.keys[own] == keys) & (self.checks[own] == checks) & (self.n[own] > 0))
+            at[hit], n[hit] = self.at[own[hit]], self.n[own[hit]]
         return at, n
 
-    def _keep(self, keys, first, last, size, extra, at, n) -> None:
-        if len(self.keys) + len(keys) > CACHE:
-            self._clear()
-        short = np.flatnonzero(size <= LONGEST)
-        keys, new = np.unique(keys[short], return_index=True)
-        short = short[new]
-        fresh = ~np.isin(keys, self.keys, assume_unique=True)
-        keys, short = keys[fresh], short[fresh]
-        order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
-        put = lambda a, b: np.concatenate([a, b.astype(a.dtype)])[order]
-        self.at = put(self.at, at[short] + len(self.ids))
-        self.first, self.last, self.size, self.n = put(self.first, first[short]), put(self.last, last[short]), put(self.size, size[short]), put(self.n, n[short])
-        self.keys = put(self.keys, keys)
-        self.ids = np.concatenate([self.ids, extra])
+    def _keep(self, keys: np.ndarray, checks: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        """Each piece takes a free way of its bucket, else one by its hash; of several for one place the last stays, in all arrays."""
+        slot = ((keys & np.uint64(BUCKETS - 1)) << np.uint64(1)).astype(np.int64)
+        way = np.where(self.n[slot] == 0, 0, np.where(self.n[slot + 1] == 0, 1, (keys >> np.uint64(63)).astype(np.int64)))
+        slot += way
+        self.keys[slot], self.checks[slot], self.at[slot], self.n[slot] = keys, checks, at, n
 
 
 def crc(data, value: int = 0) -> int:
