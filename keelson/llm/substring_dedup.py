@@ -118,7 +118,7 @@ def whole(data: bytes) -> np.ndarray:
 
 def pack(docs: np.ndarray, places: np.ndarray, sizes: np.ndarray | None = None, text: bytes = b"") -> bytes:
     """Documents and places (of marks, or of the first windows of runs of ``sizes`` windows, whose words are ``text``)."""
-    press = zstandard.ZstdCompressor(level=3)
+    press = zstandard.ZstdCompressor(level=1)
     head = press.compress(planes(docs) + planes(places) + (b"" if sizes is None else sizes.astype(np.uint8).tobytes()))
     return len(head).to_bytes(8, "little") + head + (press.compress(text) if text else b"")
 
@@ -153,17 +153,31 @@ def keys_of(code: np.ndarray, start: np.ndarray, window: int, size: int) -> list
     return out
 
 
-def later_leaves(keys: list[np.ndarray], docs: np.ndarray) -> np.ndarray:
-    """Suffixes in order of their words; of those below one node of the window's depth, the ones that aren't of its smallest document."""
+def shared(path: np.ndarray) -> np.ndarray:
+    """Places of the numbers that are there more than once."""
+    order = np.argsort(path, kind="stable")
+    same = path[order][1:] == path[order][:-1]
+    return np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
+
+
+def later_leaves(code: np.ndarray, start: np.ndarray, docs: np.ndarray, window: int, size: int) -> np.ndarray:
+    """Suffixes in order of their words; of those below one node of the window's depth, the ones that aren't of its smallest document.
+
+    Suffixes whose first words' hash no other has are leaves of their own and are left out before the sort.
+    """
+    if not len(start):
+        return start
+    near = shared(chain(mix(code.astype(np.uint64)), window)[start])
+    keys = keys_of(code, start[near], window, size)
     order = np.lexsort(keys[::-1])
     deep = np.ones(max(0, len(order) - 1), bool)  # a common prefix of the whole window with the neighbour before
     for key in keys:
         s = key[order]
         deep &= s[1:] == s[:-1]
-    begin = np.flatnonzero(np.concatenate([[True], ~deep]))
-    own = docs[order]
-    least = np.minimum.reduceat(own, begin)
-    return order[own > np.repeat(least, np.diff(begin, append=len(order)))]
+    begin = np.flatnonzero(np.concatenate([[True], ~deep])) if len(order) else order
+    own = docs[near][order]
+    least = np.minimum.reduceat(own, begin) if len(order) else own
+    return near[order[own > np.repeat(least, np.diff(begin, append=len(order)))]]
 
 
 def mark_blobs(docs: np.ndarray, places: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -241,10 +255,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, group: int | None = None) ->
             del parts, flat
             size = m + window - 1
             start = spans(np.cumsum(size) - size, m)
-            doc = np.repeat(doc, m)
-            gone = later_leaves(keys_of(code, start, window, len(coded.dictionary)), doc)
+            doc, place = np.repeat(doc, m), spans(place, m)
+            gone = later_leaves(code, start, doc, window, len(coded.dictionary))
             if len(gone):
-                out += mark_blobs(doc[gone], spans(place, m)[gone], buckets)
+                out += mark_blobs(doc[gone], place[gone], buckets)
         tidy()
         return pd.DataFrame({"bucket": [o[0] for o in out], "data": [o[1] for o in out]}).astype({"bucket": "int64"})
 
