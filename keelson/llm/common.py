@@ -97,19 +97,19 @@ def free(df: DataFrame, name: str) -> str:
 SLOTS = 1 << 18
 
 
-def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` by doc_id: those that may be in ``ids`` (one column, long), and those that surely aren't; null ids aren't.
+def parted(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """``docs`` by ``key``: those that may be in ``ids`` (one column, long), and those that surely aren't; nulls aren't.
 
     A Bloom filter of one hash and bounded size is broadcast, so that only rows that may be meant have to move to meet ``ids``. A set
     too large for the filter only makes more rows move.
     """
-    h, bits, slot = F.xxhash64(F.col(ids.columns[0])), free(docs, "_bits"), free(docs, "_slot")
+    h, bits, slot = F.xxhash64(F.col(ids.columns[0]).cast("long")), free(docs, "_bits"), free(docs, "_slot")
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
     place = lambda h: F.pmod(F.shiftright(h, 6), F.lit(SLOTS))
     table = F.broadcast(ids.select(place(h).alias(slot), bit(h).alias(bits)).groupBy(slot).agg(F.bit_or(bits).alias(bits)))
-    own = F.xxhash64(F.col("doc_id").cast("long"))
+    own = F.xxhash64(F.col(key).cast("long"))
     there = F.coalesce(F.col(bits).bitwiseAND(bit(own)), F.lit(0)) != 0
-    met = docs.withColumn(slot, F.when(F.col("doc_id").isNotNull(), place(own))).join(table, slot, "left")
+    met = docs.withColumn(slot, F.when(F.col(key).isNotNull(), place(own))).join(table, slot, "left")
     return met.filter(there).select(*map(quoted, docs.columns)), met.filter(~there).select(*map(quoted, docs.columns))
 
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import free, quoted, stored
+from keelson.llm.common import free, parted, quoted, stored
 
 # The contract's patterns, written so that Java neither recurses nor rescans.
 PATTERNS = {
@@ -142,10 +142,13 @@ def detected(docs: DataFrame) -> DataFrame:
 
 
 def bags(docs: DataFrame) -> DataFrame:
-    """Per text: tag, hashes of its words."""
+    """Per text: tag, hashes of its words. Words of a text move only if the text may be there twice."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), hashed))
-    return docs.filter("doc_id IS NOT NULL").select(F.xxhash64(text).alias("tag"), words.alias("words")).groupBy("tag").agg(F.first("words").alias("words"))
+    tagged = docs.filter("doc_id IS NOT NULL").select(F.xxhash64(text).alias("tag"), text.alias("text"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), hashed))
+    again = stored(tagged.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("tag"), "pii-again")
+    maybe, once = (d.select("tag", words.alias("words")) for d in parted(tagged, again, "tag"))
+    return once.unionAll(maybe.groupBy("tag").agg(F.first("words").alias("words")))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, generalise: float, remove: float) -> DataFrame:
@@ -187,10 +190,13 @@ def terms(text: Column, base: Column, gone: Column, general: Column) -> Column:
 def spans(docs: DataFrame, *, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Per row: doc_id, tag, base, terms (array of kind, start, end, action as value)."""
     found = stored(detected(docs), "pii-base")
-    bad = disclosing(docs, found, generalise, remove)
+    bad = stored(disclosing(docs, found, generalise, remove), "pii-words-of-texts")
+    met = found.join(bad.hint("merge"), "tag", "left")
     marked = F.col("doc_id").isNotNull() & F.col("gone").isNotNull()
-    found = found.join(bad, "tag", "left").withColumn("terms", F.when(marked, terms(F.col("text"), F.col("base"), F.col("gone"), F.col("general"))).otherwise(F.lit([]).cast(SPAN)))
-    return found.select("doc_id", "tag", "base", "terms")
+    # looking for words costs time, not bytes: dealt to as many tasks as a shuffle has, whatever their size
+    own = met.filter(marked).repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tag", "doc_id")
+    cols = ["doc_id", "tag", "base"]
+    return own.select(*cols, terms(F.col("text"), F.col("base"), F.col("gone"), F.col("general")).alias("terms")).unionAll(met.filter(~marked).select(*cols, F.lit([]).cast(SPAN).alias("terms")))
 
 
 def report(docs: DataFrame, **thresholds: float) -> DataFrame:
