@@ -5,8 +5,9 @@ only between boundaries (no ASCII letter or digit on either side). One strict te
 Rules come first: the longest that fits the host (or a parent domain of it) and the start of the path decides; equally long
 ones: block before allow, then by name. No shuffle; a url that a third of all rows share costs what any other does.
 
-Defined cases: a null url, or one without ``://``, has empty host and path and fits no rule; a null url has no terms and is allowed; an
-empty table gives no rows; of other columns only page_id and url are read.
+Defined cases: a null url, or one without ``://``, has empty host and path and fits no rule; a null url has no terms and is allowed; a null
+page_id is kept; repeated rows are judged one by one; a very long url is one linear pass; equally long rules are a tie, see above; an empty
+table gives no rows; of other columns, whatever their names, only page_id and url are read.
 """
 
 from __future__ import annotations

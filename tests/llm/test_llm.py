@@ -300,6 +300,10 @@ def test_op4(spark):
     pages = pd.DataFrame({"page_id": range(len(urls)), "url": urls})  # noqa: F841
     assert sorted(duckdb.sql(U.ORACLE_SQL).fetchall()) == sorted((k, *want[k], *U.hits(U.automaton(U.STRICT, U.SOFT), urls[k])) for k in range(len(urls)))
     assert U.judge(spark.createDataFrame([], "page_id long, url string"), ()).count() == 0
+    odd = spark.createDataFrame([(None, "http://a.net/xxx", 1), (1, "http://a.net/" + "y/" * 200_000 + "free/win", 2), (1, "http://a.net/free", 3), (1, "http://a.net/free", 3)], "page_id long, url string, host int")
+    assert sorted((r.page_id or -1, r.verdict) for r in U.judge(odd, U.CONTRACT).collect()) == [(-1, "block"), (1, "allow"), (1, "allow"), (1, "block")]
+    tie = [U.Rule("net", "/a", "allow"), U.Rule("net", "/a", "block")]
+    assert [r.verdict for r in U.judge(spark.createDataFrame([(1, "http://x.net/ab")], "page_id long, url string"), tie).collect()] == ["block"]
 
 
 def test_op5(spark, sample):
