@@ -155,8 +155,17 @@ def tidy() -> None:
         _trim(0)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of at most ``most`` text bytes, or one row if that is longer; memory is tidied after the last."""
+#: What operators keep in a worker from task to task, as functions that drop it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES, holds: str = "") -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most ``most`` text bytes, or one row if that is longer; memory is tidied after the last.
+
+    What other operators than ``holds`` have kept in this worker is dropped: a worker serves one at a time.
+    """
+    for name in [n for n in HELD if n != holds]:
+        HELD.pop(name)()
     if batch.num_rows == 0:
         return
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -80,7 +80,7 @@ def pieces(docs: DataFrame, *, capacity: int, tokenizer: str, end_id: int | None
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, rid = Encoder.of(tokenizer), TaskContext.get().partitionId() << 36
         for batch in batches:
-            for b in slices(batch, most=2 << 20):
+            for b in slices(batch, most=2 << 20, holds="tokens"):
                 ids, counts = encoder.encode(b.column("text"))
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))

@@ -165,7 +165,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, en
             return row
 
         for batch in batches:
-            for b in slices(batch, most=2 << 20):
+            for b in slices(batch, most=2 << 20, holds="tokens"):
                 ids, counts = encoder.encode(b.column("text"))
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))

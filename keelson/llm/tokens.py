@@ -17,11 +17,11 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-from keelson.llm.common import hash_spans, mix
+from keelson.llm.common import HELD, hash_spans, mix
 
 _ENCODERS: dict[str, Encoder] = {}
-#: Buckets of two cached pieces each, of 21 bytes; and ids of pieces, at which the cache is emptied: so a worker's memory is bounded.
-BUCKETS, IDS = 1 << 20, 8 << 20
+#: Buckets of two cached pieces each, of 21 bytes; and ids of pieces, at which those that no bucket names any more go: so a worker's memory is bounded.
+BUCKETS, IDS = 1 << 19, 8 << 20
 #: Longer pieces are encoded but not kept.
 LONGEST = 64
 
@@ -55,6 +55,7 @@ class Encoder:
     def of(path: str) -> Encoder:
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
+        HELD["tokens"] = _ENCODERS.clear
         return _ENCODERS[path]
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,18 +115,29 @@ class Encoder:
         total = np.cumsum(n)
         ids = self.ids[np.arange(total[-1]) + np.repeat(at - (total - n), n)]
         if self.used > IDS:
-            self._clear()
+            self._compact()
         doc_piece = np.searchsorted(start, starts_of)  # pieces before each text
         per = np.diff(np.append(doc_piece, len(start)))
         before = np.concatenate([[0], total])
         counts = before[doc_piece + per] - before[doc_piece]
         return ids, counts.astype(np.int64)
 
+    def _compact(self) -> None:
+        live = np.flatnonzero(self.n)
+        n, at = self.n[live].astype(np.int64), self.at[live].astype(np.int64)
+        ends = np.cumsum(n)
+        if not len(live) or ends[-1] > IDS // 2 + IDS // 4:
+            self._clear()
+            return
+        kept = self.ids[np.arange(ends[-1]) + np.repeat(at - (ends - n), n)]
+        self.at[live] = ends - n
+        self.ids, self.used = kept, len(kept)
+
     def _held(self, ids: np.ndarray) -> int:
         """Puts ids behind those that are there, and says where."""
         at, need = self.used, self.used + len(ids)
         if need > len(self.ids):
-            self.ids = np.concatenate([self.ids[:at], np.zeros(max(need, 2 * len(self.ids)) - at, np.uint32)])
+            self.ids = np.concatenate([self.ids[:at], np.zeros(max(need, at + (1 << 20)) - at, np.uint32)])
         self.ids[at:need] = ids
         self.used = need
         return at
