@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import Scratch, batched, chain, filtered, hash_words, mix, slices, stored, white_words
+from keelson.llm.common import Scratch, batched, chain, filtered, hash_words, mix, slices, stored, tidy, white_words
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -170,6 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = TRAIN_DOCS, most_byte
                             samples.append((i, x.astype(np.int32), y, int(label)))
             samples.sort(key=lambda s: s[0])
             table, bias = train([s[1:] for s in samples]) if samples else (np.zeros(BUCKETS), 0.0)
+            samples.clear()
+            tidy()
             yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([bias])], ["model", "bias"])
 
         model = own.select("_id", "_label", "text").transform(batched).mapInArrow(learn, "model binary, bias double").collect()[0]
