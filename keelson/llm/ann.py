@@ -76,6 +76,16 @@ def unit(x: np.ndarray, lift: float) -> np.ndarray:
     return np.pad(x / np.sqrt((x**2).sum(1))[:, None], ((0, 0), (0, dim - x.shape[1])))
 
 
+def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch of vectors of one length: how many, least and greatest norm, length."""
+    for b in batches:
+        if b.num_rows:
+            x = matrix(b.column("v"))
+            most = np.abs(x).max(1)
+            n = np.minimum(most * np.sqrt(((x / most[:, None]) ** 2).sum(1)), 1e308)
+            yield pa.RecordBatch.from_arrays([pa.array([len(n)]), pa.array([n.min()]), pa.array([n.max()]), pa.array([x.shape[1]], pa.int32())], ["n", "low", "high", "dim"])
+
+
 def buckets_of(x: np.ndarray, table: int, hashes: int) -> np.ndarray:
     out = np.zeros(len(x), np.int64)
     for k in range(hashes):
@@ -184,10 +194,9 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = K, tables: int =
 
 
 def _search(rows: DataFrame, asked: DataFrame, k: int, tables: int, probes: int, hashes: int | None, recall: float) -> DataFrame:
-    most = F.array_max(F.transform("v", F.abs))
-    norm = F.least(most * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + (c / most) * (c / most))), F.lit(1e308))
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.min(norm).alias("low"), F.max(norm).alias("high"), F.max(F.size("v")).alias("dim")).head()
-    high = max(facts.high, asked.agg(F.max(norm)).head()[0])
+    facts = rows.transform(batched).mapInArrow(norms, "n long, low double, high double, dim int")
+    facts = facts.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("dim").alias("dim")).head()
+    high = max(facts.high, asked.transform(batched).mapInArrow(norms, "n long, low double, high double, dim int").agg(F.max("high")).head()[0])
     lift = high if high > 1.02 * facts.low else 0.0
     width = 2 << (facts.dim + (lift > 0) - 1).bit_length()
     if hashes is None:
