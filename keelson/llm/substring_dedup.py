@@ -2,9 +2,10 @@
 
 A suffix tree of all words of a corpus would ship each suffix's next WINDOW words, thirteen times the text. These trees are sparse: of
 the GRAM-word grams in a window the one of least hash is its anchor, and the suffixes of all windows that have one anchor go together,
-as the WINDOW words around it and a few more, to the group of the anchor's words, the prefix that equal windows share. The
-anchors of each slot of prefixes are counted over all documents; slots of few share a group, and the windows of a slot beyond GROUP
-go apart, by a prefix of all their WINDOW words. So each group fits a worker's memory.
+as the WINDOW words around it and a few more, to the group of the anchor's words, the prefix that equal windows share. There are as
+many groups as the anchors of all documents need. Grams that alone would take a large part of a group are found by a sample of all
+grams and are no anchors: a window's anchor is the least of its other grams. Only windows of nothing but such grams go apart, by
+a prefix of all their WINDOW words. So each group fits a worker's memory, and what moves grows with the text alone.
 
 A group sorts its suffixes by their words, as codes of the group's own dictionary, and neighbours in that order with a common prefix
 of WINDOW words or more are the leaves below a deep inner node. Words are compared, not hashes: a hash only says where a suffix goes.
@@ -13,7 +14,7 @@ maximal repeats, which are cut out.
 
 Before the shuffle each slice of documents reduces a node to the leaves of its smallest document: the others are marked on the
 spot, so a passage that a third of all documents share reaches its group once for each slice. What moves is compressed text, about ten
-bytes a word; documents move to meet their marks only if a bounded filter can't rule out that they have some, in buckets of bounded size.
+bytes a word, of several slices at once, as text in small pieces compresses badly; documents move to meet their marks only if a bounded filter can't rule out that they have some, in buckets of bounded size.
 
 Defined cases: null text has no words; a null doc_id neither marks nor is marked; rows with the same doc_id don't mark each other
 and are judged apart; fewer than WINDOW words: nothing is removed; a very long text is a slice of its own; an empty table gives no rows; other
@@ -23,7 +24,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,20 +39,32 @@ from keelson.llm.common import batched, chain, hash_words, mix, parted, slices,
 WINDOW, GRAM = 13, 4
 #: Anchors of a group, about: their suffixes are some 20 MB of text.
 GROUP = 150_000
-SLOTS = 1024
+#: Parts of a group: a gram that would take more than one is no anchor. Of how many grams the sample has one.
+PARTS, SAMPLE = 4, 128
+NONE = np.uint64(2**64 - 1)
 #: Text bytes of a slice, and of a final bucket, about.
 SLICE, BUCKET_BYTES = 6 << 20, 4 << 20
+#: Bytes of the words whose suffixes are compressed at once, and how many words are taken for it at a time.
+HOLD, TAKE = 40 << 20, 1 << 20
 BLOBS = "grp long, bucket long, data binary"
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def anchored(h: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word of each window, its anchor's first word, the anchor's hash): the least gram in it, the first of equal ones."""
+def anchored(h: np.ndarray, counts: np.ndarray, window: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of each window, its anchor's first word, the anchor's hash): the least gram in it that isn't hot, the first of equal ones.
+
+    ``hot`` has sorted hashes. The hash of a window of hot grams alone is NONE.
+    """
     start = np.flatnonzero(window_starts(counts, window))
     gram = min(GRAM, window)
     if not len(start):
         return start, start, np.zeros(0, np.uint64)
     g = mix(chain(h, gram))
+    if len(hot):
+        may = np.zeros(1 << 16, bool)
+        may[(hot >> np.uint64(48)).astype(np.int64)] = True
+        look = np.flatnonzero(may[(g >> np.uint64(48)).astype(np.int64)])
+        g[look[hot[np.minimum(np.searchsorted(hot, g[look]), len(hot) - 1)] == g[look]]] = NONE
     at, least = start.copy(), g[start]
     for k in range(1, window - gram + 1):
         other = g[start + k]
@@ -60,51 +73,34 @@ def anchored(h: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray
     return start, at, least
 
 
-def slot_of(anchor: np.ndarray) -> np.ndarray:
-    return (mix(anchor) >> np.uint64(64 - 10)).astype(np.int64)
+def census(docs: DataFrame, window: int, group: int) -> tuple[np.ndarray, int, int]:
+    """The hot grams' hashes, sorted; how many groups there are; all text bytes. The driver gets three sums and the hot grams.
 
-
-def count_slots(docs: DataFrame, window: int) -> tuple[np.ndarray, int]:
-    """Anchors of each slot, and all text bytes: one row for each slot and task reaches the driver's sum."""
+    A hot gram is there group / PARTS times or more, as a sample of the grams of all documents has it.
+    """
+    gram, most = min(GRAM, window), group // PARTS
+    rate = max(1, min(SAMPLE, most // 256))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, size = np.zeros(SLOTS, np.int64), 0
         for batch in batches:
             for b in slices(batch, most=SLICE):
                 flat, counts = white_words(b.column("text"))
-                _, at, least = anchored(hash_words(flat), counts, window)
-                new = np.ones(len(at), bool)
-                new[1:] = at[1:] != at[:-1]
-                total += np.bincount(slot_of(least[new]), minlength=SLOTS)
-                size += b.column("text").nbytes
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLOTS + 1)), pa.array(np.append(total, size))], ["slot", "n"])
-
-    rows = docs.transform(batched).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(SLOTS + 1, np.int64)
-    for r in rows:
-        out[r.slot] = r.n
-    return out[:-1], int(out[-1])
-
-
-def plan(counts: np.ndarray, most: int, spread: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """For each slot its first group, and among how many its windows are dealt (1: its anchors stay together); and all groups.
-
-    ``spread`` is how many windows an anchor may have.
-    """
-    first, groups = np.zeros(SLOTS, np.int64), np.ones(SLOTS, np.int64)
-    at, held = 0, 0
-    for s, n in enumerate(counts.tolist()):
-        if n > most:
-            if held:
-                at, held = at + 1, 0
-            first[s], groups[s] = at, max(2, -(-n * spread // most))
-            at += int(groups[s])
-        else:
-            if held + n > most:
-                at, held = at + 1, 0
-            first[s] = at
-            held += n
-    return first, groups, at + 1
+                h = hash_words(flat)
+                start, at, _ = anchored(h, counts, window, np.zeros(0, np.uint64))
+                g = mix(chain(h, gram)[np.flatnonzero(window_starts(counts, gram))])
+                some, n = np.unique(g[mix(np.arange(len(g), dtype=np.uint64)) % np.uint64(rate) == 0].view(np.int64), return_counts=True)
+                sums = [len(start) and 1 + int((at[1:] != at[:-1]).sum()), len(g), b.column("text").nbytes]
+                cols = [np.append([1, 2, 3], np.zeros(len(some))).astype(np.int32), np.append([0, 0, 0], some).astype(np.int64), np.append(sums, n).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["what", "gram", "n"])
+
+    every = docs.transform(batched).mapInArrow(count, "what int, gram long, n long").groupBy("what", "gram").agg(F.sum("n").alias("n"))
+    rows = every.filter((F.col("what") > 0) | (F.col("n") * rate >= max(2, most))).collect()
+    sums = {r.what: r.n for r in rows if r.what}
+    hot = [(r.gram, r.n * rate) for r in rows if not r.what]
+    # windows of hot grams alone are about the square of the hot grams' share
+    share = min(1.0, sum(n for _, n in hot) / max(1, sums.get(2, 0)))
+    runs = sums.get(1, 0) + int(share**2 * sums.get(2, 0))
+    return np.sort(np.array([g for g, _ in hot], np.int64).view(np.uint64)), max(1, -(-runs // group)), sums.get(3, 0)
 
 
 def planes(numbers: np.ndarray) -> bytes:
@@ -194,18 +190,40 @@ def repeats(docs: DataFrame, window: int = WINDOW, group: int | None = None) ->
 
     ``docs`` has doc_id, text and tag (a hash of the text, to tell rows of one doc_id apart); a place is tag << 32 | word.
     """
-    counts, size = count_slots(docs.select("text"), window)
-    first, groups, n_groups = plan(counts, group or GROUP, window - min(GRAM, window) + 1)
+    hot, n_groups, size = census(docs.select("text"), window, group or GROUP)
     buckets = max(1, -(-size // BUCKET_BYTES))
 
+    def rows(out: Iterable[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        grp, bucket, data = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(bucket, pa.int64()), pa.array(data, pa.binary())], ["grp", "bucket", "data"])
+
+    def packed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """A blob for each group: the runs of all slices held, whose words are taken TAKE at a time."""
+        begin = np.cumsum([0] + [len(x[0]) for x in held])
+        flat = pa.concat_arrays([x[0] for x in held])
+        start, m, doc, place, grp = (np.concatenate([x[k] + (begin[i] if k == 1 else 0) for i, x in enumerate(held)]) for k in range(1, 6))
+        held.clear()
+        by = np.argsort(grp, kind="stable")
+        start, m, doc, place, grp = start[by], m[by], doc[by], place[by], grp[by]
+        cuts = np.append(np.flatnonzero(np.diff(grp, prepend=-1)), len(grp))
+        ends = np.concatenate([[0], np.cumsum(m + window - 1)])[cuts]
+        part = np.append(np.flatnonzero(np.diff(ends[:-1] // TAKE, prepend=-1)), len(cuts) - 1).tolist()
+        for i, j in zip(part, part[1:], strict=False):
+            x, y = cuts[i], cuts[j]
+            words = flat.take(pa.array(spans(start[x:y], m[x:y] + window - 1)))
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends[i : j + 1] - ends[i], pa.int32()), words), " ")
+            own = list(zip(cuts[i:j].tolist(), cuts[i + 1 : j + 1].tolist(), strict=True))
+            yield rows((int(grp[x]), -1, pack(doc[x:y], place[x:y], m[x:y], texts[k].as_buffer().to_pybytes())) for k, (x, y) in enumerate(own))
+
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column("doc_id")))
             for b in slices(batch, most=SLICE):
                 b = b.take(pc.sort_indices(b, sort_keys=[("doc_id", "ascending"), ("tag", "ascending")]))
                 flat, n = white_words(b.column("text"))
                 h = hash_words(flat)
-                start, at, least = anchored(h, n, window)
+                start, at, least = anchored(h, n, window, hot)
                 if not len(start):
                     continue
                 row = np.repeat(np.arange(len(n)), n)[start]
@@ -223,26 +241,23 @@ def repeats(docs: DataFrame, window: int = WINDOW, group: int | None = None) ->
                 for k in range(window):
                     same &= code[start[late] + k] == code[start[head[late]] + k]
                 late = late[same]
-                out: list[tuple[int, int, bytes]] = [(k % n_groups, k, d) for k, d in mark_blobs(doc[late], place[late], buckets)] if len(late) else []
+                if len(late):
+                    yield rows((k % n_groups, k, d) for k, d in mark_blobs(doc[late], place[late], buckets))
                 keep = np.ones(len(start), bool)
                 keep[late] = False
-                slot = slot_of(least)
-                alone = groups[slot] > 1
+                alone = least == NONE
                 opens = np.ones(len(start), bool)  # runs of windows with one anchor
                 opens[1:] = ~keep[:-1] | (start[1:] != start[:-1] + 1) | (at[1:] != at[:-1]) | alone[1:]
                 run = np.flatnonzero(opens & keep)
-                run_of = np.cumsum(opens & keep)[keep] - 1
-                m = np.bincount(run_of, minlength=len(run))
-                grp = first[slot[run]] + np.where(alone[run], (mix(path[run]) % groups[slot[run]].astype(np.uint64)).astype(np.int64), 0)
-                by = np.argsort(grp, kind="stable")
-                run, m, grp = run[by], m[by], grp[by]
-                words = flat.take(pa.array(spans(start[run], m + window - 1)))
-                cuts = np.append(np.flatnonzero(np.diff(grp, prepend=-1)), len(grp))
-                ends = np.concatenate([[0], np.cumsum(m + window - 1)])[cuts]
-                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words), " ")
-                for k, (x, y) in enumerate(zip(cuts.tolist(), cuts.tolist()[1:], strict=False)):
-                    out.append((int(grp[x]), -1, pack(doc[run[x:y]], place[run[x:y]], m[x:y], texts[k].as_buffer().to_pybytes())))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], ["grp", "bucket", "data"])
+                m = np.bincount(np.cumsum(opens & keep)[keep] - 1, minlength=len(run))
+                grp = (mix(np.where(alone[run], path[run], least[run])) % np.uint64(n_groups)).astype(np.int64)
+                if held and size + flat.nbytes > HOLD:
+                    yield from packed(held)
+                    held, size = [], 0
+                held.append((flat, start[run], m, doc[run], place[run], grp))
+                size += flat.nbytes
+        if held:
+            yield from packed(held)
 
     def subtree(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [(int(b), d) for b, d in zip(pdf["bucket"], pdf["data"], strict=True) if b >= 0]
@@ -263,7 +278,21 @@ def repeats(docs: DataFrame, window: int = WINDOW, group: int | None = None) ->
         return pd.DataFrame({"bucket": [o[0] for o in out], "data": [o[1] for o in out]}).astype({"bucket": "int64"})
 
     found = docs.transform(batched).mapInArrow(suffixes, BLOBS).groupBy("grp").applyInPandas(subtree, "bucket long, data binary")
-    return stored(found, "substring-marks"), buckets
+    return stored_alone(found, "substring-marks"), buckets
+
+
+def stored_alone(df: DataFrame, what: str) -> DataFrame:
+    """``stored``, and the files of its shuffle go as soon as it is written: several times the text, else there until a driver's collection."""
+    key, spark = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", df.sparkSession
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        return stored(df, what)
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def marked(marks: DataFrame) -> DataFrame:
